@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filmloom.operators.deliveries import parse_deliveries, plain_text
+from filmloom.operators.packed import explode_packed
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.operators.orphans import orphan_references
 from filmloom.operators.snapshots import snapshot_changes
@@ -66,5 +68,82 @@ WHERE r.k IS NOT NULL AND r.t IS NOT NULL AND d.k IS NULL"""
 
 P2_FOUND_SQL = _p2_sql("title_principals", "nconst", "recorded_at", "name_basics") + "\nUNION ALL" + _p2_sql("title_ratings", "tconst", "snapshot_date", "title_basics")
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL}
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    titles = table(spark, folder, "title_basics").select(clean_key("tconst").alias("tconst"), "genres").where("tconst is not null")
+    values = explode_packed(titles, "tconst", "genres")
+    return values.select(F.col("key").alias("tconst"), "pos", F.col("value").alias("genre")).distinct()
+
+
+P6_FOUND_SQL = rf"""
+WITH fields AS (
+  SELECT DISTINCT {clean_key_sql("tconst")} AS tconst, genres FROM title_basics
+  WHERE {clean_key_sql("tconst")} IS NOT NULL AND trim(genres) <> '\N'),
+places AS (
+  SELECT tconst, string_split(regexp_replace(genres || ',', '((?:[^",;/|·，]|"[^"]*")*)[,;/|·，]', '\1' || chr(31), 'g'), chr(31))[:-2] AS v FROM fields),
+parts AS (SELECT tconst, unnest(range(1, len(v) + 1)) AS pos, trim(unnest(v)) AS t FROM places)
+SELECT DISTINCT tconst, pos,
+  CASE WHEN t LIKE '"%"' AND length(t) > 1 AND NOT contains(replace(t[2:-2], '""', ''), '"') THEN replace(t[2:-2], '""', '"') ELSE t END AS genre
+FROM parts WHERE t NOT IN ('', '""')
+"""
+
+#: Fields and bounds of a title_basics delivery line.
+RAW_FIELDS = 6
+RAW_CHECKS = [("startyear", 3, 1850, 2100), ("runtimeminutes", 4, 1, 1000)]
+
+
+def _parsed(spark: SparkSession, folder: str) -> DataFrame:
+    return parse_deliveries(table(spark, folder, "title_basics_raw"), "raw_id", "line", RAW_FIELDS, RAW_CHECKS)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _parsed(spark, folder).where("reason is not null").select(F.col("row_id").alias("raw_id"), "reason")
+
+
+def p7_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """The failing lines with the edits that would mend their structure."""
+    return _parsed(spark, folder).where("reason is not null").select(F.col("row_id").alias("raw_id"), "reason", "edits")
+
+
+def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
+    """The sound lines as typed title_basics rows; genres keep their packed form, which has quotes of its own."""
+    field = F.col("fields")
+    number = lambda i: F.when(F.trim(field[i]) != "\\N", F.trim(field[i])).try_cast("bigint")
+    return _parsed(spark, folder).where("reason is null").select(
+        F.col("row_id").alias("raw_id"),
+        plain_text(field[0]).alias("tconst"),
+        plain_text(field[1]).alias("titleType"),
+        plain_text(field[2]).alias("primaryTitle"),
+        number(3).alias("startYear"),
+        number(4).alias("runtimeMinutes"),
+        F.when(field[5] != "\\N", field[5]).alias("genres"),
+    )
+
+
+_P7_PARTS_SQL = r"""
+WITH cut AS (
+  SELECT raw_id, coalesce(line, '') AS l, length(coalesce(line, '')) - length(replace(coalesce(line, ''), '"', '')) AS quotes FROM title_basics_raw),
+split AS (
+  SELECT raw_id, quotes, string_split(regexp_replace(l || chr(9), '((?:[^"\t]|"[^"]*")*)\t', '\1' || chr(31), 'g'), chr(31))[:-2] AS f FROM cut),
+judged AS (
+  SELECT raw_id, f, CASE WHEN quotes % 2 = 1 THEN 'quoting' WHEN len(f) <> 6 THEN 'columns'
+    WHEN NOT (trim(f[4]) = '\N' OR (regexp_full_match(trim(f[4]), '[0-9]+') AND coalesce(TRY_CAST(trim(f[4]) AS HUGEINT) BETWEEN 1850 AND 2100, false))) THEN 'startyear'
+    WHEN NOT (trim(f[5]) = '\N' OR (regexp_full_match(trim(f[5]), '[0-9]+') AND coalesce(TRY_CAST(trim(f[5]) AS HUGEINT) BETWEEN 1 AND 1000, false))) THEN 'runtimeminutes'
+  END AS reason FROM split)
+"""
+P7_FOUND_SQL = _P7_PARTS_SQL + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL"
+
+
+def _plain_sql(x: str) -> str:
+    return rf"""CASE WHEN {x} <> '\N' THEN CASE WHEN regexp_full_match({x}, '"([^"]|"")*"') THEN replace({x}[2:-2], '""', '"') ELSE {x} END END"""
+
+
+P7_LOADED_SQL = (
+    _P7_PARTS_SQL
+    + rf"""SELECT raw_id, {_plain_sql("f[1]")} AS tconst, {_plain_sql("f[2]")} AS titleType, {_plain_sql("f[3]")} AS primaryTitle,
+  TRY_CAST(nullif(trim(f[4]), '\N') AS BIGINT) AS startYear, TRY_CAST(nullif(trim(f[5]), '\N') AS BIGINT) AS runtimeMinutes, nullif(f[6], '\N') AS genres
+FROM judged WHERE reason IS NULL"""
+)
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_loaded": p7_loaded, "p7_edits": p7_edits}
+ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_loaded": P7_LOADED_SQL}

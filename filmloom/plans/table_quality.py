@@ -9,6 +9,7 @@ from filmloom.operators.deliveries import parse_deliveries, plain_text
 from filmloom.operators.packed import explode_packed
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.operators.orphans import orphan_references
+from filmloom.operators.skew import LoadPlan, fragment_replicate_join, per_key_counts, plan_loads
 from filmloom.operators.snapshots import snapshot_changes
 from filmloom.sources.tables import table
 
@@ -145,5 +146,78 @@ P7_LOADED_SQL = (
 FROM judged WHERE reason IS NULL"""
 )
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_found": p6_found, "p7_found": p7_found, "p7_loaded": p7_loaded, "p7_edits": p7_edits}
-ORACLES = {"p1_found": P1_FOUND_SQL, "p2_found": P2_FOUND_SQL, "p6_found": P6_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_loaded": P7_LOADED_SQL}
+
+#: Key columns of title_principals by their number in load plans.
+KEY_COLUMNS = ("nconst", "tconst")
+HEAVY_SHARE = 0.01
+
+
+def _credit_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, LoadPlan]:
+    """Each credit once per key column, its other key as the partner, and the plan of their loads."""
+    credits = table(spark, folder, "title_principals").select(
+        clean_key("nconst").alias("nconst"), clean_key("tconst").alias("tconst"), F.lower(F.trim("category")).alias("category")
+    )
+    side = lambda i: F.struct(F.lit(i).alias("kind"), F.col(KEY_COLUMNS[i]).alias("key"), F.col(KEY_COLUMNS[1 - i]).alias("partner"))
+    keyed = credits.select(F.explode(F.array(side(0), side(1))).alias("k"), "category").select("k.*", "category")
+    return keyed, plan_loads(keyed.select("kind", "key"), table(spark, folder, "title_principals").count())
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    keyed, plan = _credit_keys(spark, folder)
+    heavy = per_key_counts(keyed, plan).where(F.col("n_rows") >= HEAVY_SHARE * plan.rows)
+    return heavy.select(F.element_at(F.lit(list(KEY_COLUMNS)), F.col("kind") + 1).alias("key_column"), F.col("key").alias("key_value"))
+
+
+def p5_key_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, distinct partners (a person's titles, a title's people) and distinct categories of every key."""
+    keyed, plan = _credit_keys(spark, folder)
+    return per_key_counts(keyed, plan).select(
+        F.element_at(F.lit(list(KEY_COLUMNS)), F.col("kind") + 1).alias("key_column"), F.col("key").alias("key_value"), "n_rows", "n_partners", "n_categories"
+    )
+
+
+def p5_named_credits(spark: SparkSession, folder: str) -> DataFrame:
+    """Credits per person and title with the person's name: the alphabetically first where spellings differ."""
+    rows = table(spark, folder, "title_principals").select(F.lit(0).alias("kind"), clean_key("nconst").alias("key"), clean_key("tconst").alias("tconst"), "ordering")
+    plan = plan_loads(rows.select("kind", "key"), rows.count())
+    names = table(spark, folder, "name_basics").groupBy(clean_key("nconst").alias("key")).agg(F.min("primaryName").alias("primaryName")).select(F.lit(0).alias("kind"), "*")
+    joined = fragment_replicate_join(rows, names, plan, F.xxhash64("tconst", "ordering"))
+    return joined.select("tconst", "ordering", F.col("key").alias("nconst"), "primaryName")
+
+
+_CREDITS_SQL = f"WITH c AS (SELECT {clean_key_sql('nconst')} AS nconst, {clean_key_sql('tconst')} AS tconst, lower(trim(category)) AS category FROM title_principals)"
+P5_KEY_COUNTS_SQL = f"""{_CREDITS_SQL}
+SELECT 'nconst' AS key_column, nconst AS key_value, count(*) AS n_rows, count(DISTINCT tconst) AS n_partners, count(DISTINCT category) AS n_categories
+FROM c WHERE nconst IS NOT NULL GROUP BY nconst
+UNION ALL SELECT 'tconst', tconst, count(*), count(DISTINCT nconst), count(DISTINCT category) FROM c WHERE tconst IS NOT NULL GROUP BY tconst
+"""
+P5_FOUND_SQL = f"""{_CREDITS_SQL}
+SELECT 'nconst' AS key_column, nconst AS key_value FROM c WHERE nconst IS NOT NULL GROUP BY nconst HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM c)
+UNION ALL SELECT 'tconst', tconst FROM c WHERE tconst IS NOT NULL GROUP BY tconst HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM c)
+"""
+P5_NAMED_CREDITS_SQL = f"""
+SELECT {clean_key_sql("p.tconst")} AS tconst, p.ordering, {clean_key_sql("p.nconst")} AS nconst, n.primaryName
+FROM title_principals p LEFT JOIN (SELECT {clean_key_sql("nconst")} AS k, min(primaryName) AS primaryName FROM name_basics GROUP BY 1) n ON n.k = {clean_key_sql("p.nconst")}
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_key_counts": p5_key_counts,
+    "p5_named_credits": p5_named_credits,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_loaded": p7_loaded,
+    "p7_edits": p7_edits,
+}
+ORACLES = {
+    "p1_found": P1_FOUND_SQL,
+    "p2_found": P2_FOUND_SQL,
+    "p5_found": P5_FOUND_SQL,
+    "p5_key_counts": P5_KEY_COUNTS_SQL,
+    "p5_named_credits": P5_NAMED_CREDITS_SQL,
+    "p6_found": P6_FOUND_SQL,
+    "p7_found": P7_FOUND_SQL,
+    "p7_loaded": P7_LOADED_SQL,
+}

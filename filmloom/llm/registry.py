@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.llm import title_groups
+from filmloom.llm import text_quality, title_groups
 
-_PARTS = [title_groups]
+_PARTS = [title_groups, text_quality]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

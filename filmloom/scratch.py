@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes up to which a counted side may be broadcast; larger sides are shuffled.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 10 << 20
 
 _made: list[str] = []
 

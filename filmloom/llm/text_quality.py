@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filmloom.llm.encodings import WrongEncodings
 from filmloom.llm.leaks import LEAK_WORDS, leaks, removal_spans
 from filmloom.sources.tables import table
 
@@ -26,5 +27,15 @@ def _windows_sql(name: str, key: str) -> str:
 
 P8_FOUND_SQL = f"""SELECT DISTINCT d.doc_id, e.item_id FROM {_windows_sql("documents", "doc_id")} d JOIN {_windows_sql("eval_items", "item_id")} e USING (phrase)"""
 
-QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans}
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return WrongEncodings(table(spark, folder, "documents")).found().select(F.col("doc").alias("doc_id"))
+
+
+def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases with their restored text; `complete` tells whether nothing of it is lost."""
+    return WrongEncodings(table(spark, folder, "documents")).restored().select(F.col("doc").alias("doc_id"), "restored", "complete")
+
+
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES = {"p8_found": P8_FOUND_SQL}

@@ -21,7 +21,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[\x80-\U0010ffff]+")
 LOST = "�"
 #: Passage pairs that must show a mistake between two single-byte encodings, and documents a restored word must occur in.
-LEAST_PAIRS, LEAST_KNOWN = 2, 3
+LEAST_PAIRS, LEAST_KNOWN = 1, 3
 #: A word counts as known if it is in so many times more documents than its garbled form.
 KNOWN_RATIO = 3
 

@@ -241,7 +241,8 @@ class WrongEncodings:
         kind = self.docs.schema["doc"].dataType.simpleString()
         self.mistakes, self.alphabet = learn_mistakes(self.docs.select("text").distinct())
         self.held = cut(self.docs.mapInArrow(_words, f"doc {kind}, word string"))
-        self.words = cut(self.held.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+        tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.words = cut(self.held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(tasks))  # small rows, much work each
         self.garbled = cut(garbled_words(self.words.where(~F.col("word").contains(LOST)), self.mistakes, self.alphabet))
 
     def found(self) -> DataFrame:

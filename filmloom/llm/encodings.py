@@ -116,43 +116,52 @@ def learn_mistakes(texts: DataFrame) -> tuple[list[tuple[str, str]], str]:
     return [(s, r) for s, r, _ in seen], "".join(r["c"] for r in alphabet.collect())
 
 
-def _script(c: str) -> str:
-    return "latin" if c < "ɐ" else "other"
+def _latin(text: str) -> bool:
+    return any(c.isascii() and c.isalpha() for c in text)
+
+
+def _other(c: str) -> bool:
+    """A letter of another alphabet than Latin."""
+    return c.isalpha() and c >= "ɐ"
 
 
 def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
-    """A function from a word to its candidates (restored, certain): certain ones need no known word beside them."""
+    """A function from a word to its candidates (restored, certain, parts): certain ones need no known word beside them."""
     clean = {c for c in alphabet if c != LOST and not "\x80" <= c <= "\x9f"}
+    readings = [r for s, r in mistakes if s == UTF8]
 
-    def plausible(before: str, run: str, decoded: str, after: str) -> bool:
+    def possible(before: str, run: str, decoded: str, after: str) -> bool:
         if not all(c in clean for c in decoded):
-            return False
-        if all(c.isalpha() and _script(c) == "other" for c in run):
-            return False  # letters of one alphabet may pair up by chance
+            return any(undo_utf8(decoded, r, possible) != decoded for r in readings)  # garbled more than once
         letters = [c for c in decoded if c.isalpha()]
         if letters and letters[0].islower() and len(before) > 1 and before[-2:].isascii() and before[-2:].isupper():
             return False
-        beside = [c for c in (before[-1:], after[:1]) if c.isascii() and c.isalpha()]
-        return not (beside and any(_script(c) == "other" for c in letters))
+        return not (_latin(before[-1:] + after[:1]) and any(_other(c) for c in letters))
+
+    def telling(before: str, run: str, decoded: str, after: str) -> bool:
+        # letters of one other alphabet by themselves may pair up by chance; between Latin letters they don't
+        by_chance = all(_other(c) for c in run) and not _latin(before[-1:] + after[:1])
+        return not by_chance and possible(before, run, decoded, after)
 
-    def nested(before: str, run: str, decoded: str, after: str) -> bool:
-        """For a text garbled again: what comes out must itself be such a run."""
-        return any(undo_utf8(decoded, r, plausible) != decoded for s, r in mistakes if s == UTF8)
+    def parts(text: str, word: str, least: int) -> list[str]:
+        return [x for x in set(LETTERS.findall(text)) - set(LETTERS.findall(word)) if len(x) >= least and not x.isascii()]
 
-    def restore(word: str) -> list[tuple[str, bool]]:
+    def restore(word: str) -> list[tuple[str, bool, list[str]]]:
         now = word
         for _ in range(ROUNDS):
-            for stored, read in mistakes:
-                if stored == UTF8:
-                    now = undo_utf8(now, read, lambda b, g, d, a: plausible(b, g, d, a) or nested(b, g, d, a))
+            for read in readings:
+                told = undo_utf8(now, read, telling)
+                if told != now:
+                    now = undo_utf8(told, read, possible)
         if now != word:
-            return [(now, True)]
-        out = []
+            return [(now, True, [])]
+        out = {}
         for stored, read in mistakes:
-            if stored != UTF8 and (text := undo_single(word, stored, read)) and text != word and (text, False) not in out:
-                if all(c.isascii() or c in clean for c in text):
-                    out.append((text, False))
-        return out
+            text = undo_utf8(word, read, possible) if stored == UTF8 else undo_single(word, stored, read)
+            if text and text != word and text not in out and all(c.isascii() or c in clean for c in text):
+                if new := parts(text, word, 1 if stored == UTF8 else 3):
+                    out[text] = new
+        return [(text, False, new) for text, new in out.items()]
 
     return restore
 
@@ -163,10 +172,7 @@ def _restored(mistakes: list[tuple[str, str]], alphabet: str):
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for text, certain in restore(word):
-                    parts = [x for x in set(LETTERS.findall(text)) - set(LETTERS.findall(word)) if len(x) > 2 and not x.isascii()]
-                    if certain or parts:
-                        rows.append((word, n, text, certain, parts))
+                rows += [(word, n, text, certain, parts) for text, certain, parts in restore(word)]
             columns = [list(c) for c in zip(*rows)] or [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "restored", "certain", "parts"])
@@ -227,6 +233,27 @@ def lost_words(words: DataFrame, garbled: DataFrame) -> DataFrame:
     return lost.join(best, ["bare", "gaps"]).select("word", F.col("top.restored").alias("restored"))
 
 
+def apply_fixes(text: str, fixes: dict[str, str], mistakes: list[tuple[str, str]]) -> str:
+    """`text` with its known words restored, and the rest of a passage by the mistake that most of its words share.
+
+    Short words between restored ones can't be told by themselves; they follow if more words of their passage are
+    restored than not, and by one mistake.
+    """
+
+    def passage(match: re.Match) -> str:
+        words = {w for w in WORD.findall(match.group()) if not w.isascii()}
+        mended = {w: fixes[w] for w in words if w in fixes}
+        rest = [w for w in words if w not in fixes and LOST not in w]
+        if rest and len(mended) > len(rest):
+            for stored, read in mistakes:
+                if stored != UTF8 and all(garble(r, stored, read) == w for w, r in mended.items()):
+                    mended |= {w: r for w in rest if (r := undo_single(w, stored, read))}
+                    break
+        return WORD.sub(lambda m: mended.get(m.group(), m.group()), match.group())
+
+    return PASSAGE.sub(passage, text)
+
+
 class WrongEncodings:
     """The records of (doc_id, text) with text decoded in a wrong encoding, and their restored text.
 
@@ -255,14 +282,13 @@ class WrongEncodings:
         per_doc = join_counted(self.held, fixes, ["word"], "inner").groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("fixes"))
         lost = self.held.where(F.col("word").contains(LOST)).select("doc").distinct()
         cases = per_doc.join(lost, "doc", "full").select("doc", F.coalesce("fixes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("fixes"))
-        kind = self.docs.schema["doc"].dataType.simpleString()
+        kind, mistakes = self.docs.schema["doc"].dataType.simpleString(), self.mistakes
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = []
                 for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    known = dict(fixes)
-                    texts.append(WORD.sub(lambda m: known.get(m.group(), m.group()), text))
+                    texts.append(apply_fixes(text, dict(fixes), mistakes))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([LOST not in t for t in texts])], ["doc", "restored", "complete"])
 
         return self.docs.distinct().join(cases, "doc").select("doc", "text", "fixes").mapInArrow(apply, f"doc {kind}, restored string, complete boolean")

@@ -131,8 +131,10 @@ def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
     readings = [r for s, r in mistakes if s == UTF8]
 
     def possible(before: str, run: str, decoded: str, after: str) -> bool:
+        if any(undo_utf8(decoded, r, possible) != decoded for r in readings):
+            return True  # garbled more than once
         if not all(c in clean for c in decoded):
-            return any(undo_utf8(decoded, r, possible) != decoded for r in readings)  # garbled more than once
+            return False
         letters = [c for c in decoded if c.isalpha()]
         if letters and letters[0].islower() and len(before) > 1 and before[-2:].isascii() and before[-2:].isupper():
             return False

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from filmloom.plans import table_quality
+from filmloom.plans import film_queries, table_quality
 
-_PARTS = [table_quality]
+_PARTS = [table_quality, film_queries]
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return table_quality.p1_found(spark, folder)
+    return film_queries.enriched_titles(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

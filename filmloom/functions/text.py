@@ -33,14 +33,18 @@ UNKNOWN = "Unknown"
 TITLE_FEATURES = [*(f"is_{name}" for name in FRANCHISE_WORDS), "title_len", "title_word_count", "has_digit", "has_colon"]
 
 
+#: White space as `str.split` and `str.strip` of Python see it: Unicode's and the four ASCII separators.
+SPACE, NO_SPACE = r"(?U)[\s\x1c-\x1f]", r"(?U)[^\s\x1c-\x1f]"
+
+
 def strip_space(text: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
 def is_blank(text: Column) -> Column:
     """Null, empty or white space only."""
-    return ~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False))
+    return ~F.coalesce(text.rlike(NO_SPACE), F.lit(False))
 
 
 def split_genres(genres: Column) -> Column:
@@ -79,7 +83,7 @@ def title_features(title: Column) -> dict[str, Column]:
     found = {f"is_{name}": flag(reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))) for name, words in FRANCHISE_WORDS.items()}
     return found | {
         "title_len": flag(F.length(known)),
-        "title_word_count": flag(F.regexp_count(known, F.lit(r"(?U)\S+"))),
+        "title_word_count": flag(F.regexp_count(known, F.lit(f"{NO_SPACE}+"))),
         "has_digit": flag(known.rlike(r"(?U)\d")),
         "has_colon": flag(F.contains(known, F.lit(":"))),
     }

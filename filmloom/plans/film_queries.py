@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.functions.features import CATEGORICAL, YEARS, categorical_features, clamp_rating, numeric_features, serving_actor_key, training_actor_key
+from filmloom.functions.features import CATEGORICAL, DEFAULT_RATING, YEARS, categorical_features, clamp_rating, numeric_features, serving_actor_key, training_actor_key
 from filmloom.functions.text import FRANCHISE_WORDS, GENRE_SYNONYMS, TITLE_FEATURES, is_blank, normalize_genres, split_genres, title_features
 from filmloom.operators import films as ops
+from filmloom.operators.explain import BECAUSE, NAMED, NOTABLE, NOTHING, contributions, explanation
+from filmloom.operators.model import RatingModel, regression_metrics, train
 from filmloom.operators.people import people_lookup
 from filmloom.operators.serving import serving_features
 from filmloom.plans.film_views import VIEWS_SQL, film_views
@@ -120,7 +122,7 @@ def genre_normalized(spark, folder):
 def _title_sql(column: str, kind: str = "BIGINT") -> str:
     known = f"nullif({column}, '')"
     flags = [f"CAST({' OR '.join(f'contains(lower({known}), {chr(39)}{w}{chr(39)})' for w in words)} AS {kind}) AS is_{name}" for name, words in FRANCHISE_WORDS.items()]
-    space = r"[^\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+"
+    space = r"[^\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
     return ", ".join([*flags, f"CAST(length({known}) AS {kind}) AS title_len", f"CAST(len(regexp_extract_all({known}, '{space}')) AS {kind}) AS title_word_count",
                       rf"CAST(regexp_matches({known}, '\p{{Nd}}') AS {kind}) AS has_digit", f"CAST(contains({known}, ':') AS {kind}) AS has_colon"])
 
@@ -312,3 +314,66 @@ def serving_feature_rows(spark, folder):
 def clamped_rating(spark, folder):
     """Ratings stretched beyond their range, clamped and rounded."""
     return film_views(spark, folder).ratings.where("averageRating is not null").select("tconst", clamp_rating(F.col("averageRating") * 1.5 - 2).alias("rating"))
+
+
+# Models.
+
+#: Trees of the registered models, and their depth.
+ITERATIONS, DEPTH = 20, 5
+
+
+def _model(spark: SparkSession, folder: str) -> tuple[RatingModel, dict, DataFrame]:
+    rows = ops.training_rows(ops.enriched(film_views(spark, folder)))
+    model, metadata = train(rows, ITERATIONS, DEPTH)
+    if model is None:
+        raise ValueError("no film has all features")
+    return model, metadata, rows
+
+
+@query()
+def train_predict(spark, folder):
+    """Ratings of a request for every title, by the model of the same tables."""
+    model, _, _ = _model(spark, folder)
+    return model.score(serving_features(_requests(spark, folder), film_views(spark, folder))).select("request_id", "rating")
+
+
+@query()
+def model_metrics(spark, folder):
+    _, metadata, _ = _model(spark, folder)
+    row = [(metadata["total_rows"], metadata["test_rows"], metadata["test_mae"], metadata["test_rmse"], metadata["test_r2"])]
+    return spark.createDataFrame(row, "total_rows bigint, test_rows bigint, mae double, rmse double, r2 double")
+
+
+@query()
+def feature_importance(spark, folder):
+    return _model(spark, folder)[0].importance(spark)
+
+
+@query()
+def shap_contributions(spark, folder):
+    """Contributions and explanation of every film's predicted rating."""
+    model, metadata, rows = _model(spark, folder)
+    explained = contributions(model, rows, "tconst")
+    return explained.select("tconst", "prediction", "rating", "base", "contributions", explanation(metadata["feature_names"], F.col("contributions")).alias("explanation"))
+
+
+@query(f"""SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2
+FROM (SELECT averageRating AS y, averageRating - coalesce(director_avg_rating, {DEFAULT_RATING}) AS e FROM bounded)""")
+def regression_measures(spark, folder):
+    """The measures of a model, here of the director's mean as the prediction."""
+    rows = ops.bounded(ops.enriched(film_views(spark, folder))).withColumn("guess", F.coalesce("director_avg_rating", F.lit(DEFAULT_RATING)))
+    return regression_metrics(rows, "averageRating", "guess").select("n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")))
+
+
+_GIVEN = {"startYear": "(startYear - 1950) / 100.0::DOUBLE", "runtimeMinutes": "(runtimeMinutes - 100) / 100.0::DOUBLE", "director_avg_rating": "director_avg_rating - averageRating",
+          "actor_1_avg_rating": "actor_1_avg_rating - averageRating", "actor_2_avg_rating": "actor_2_avg_rating - averageRating", "actor_3_avg_rating": "actor_3_avg_rating - averageRating"}
+
+
+@query(f"""SELECT tconst, CASE WHEN len(words) = 0 THEN '{NOTHING}' ELSE '{BECAUSE}' || array_to_string(words, '; ') END AS explanation FROM (
+SELECT tconst, list_transform(list_filter(list_sort(list_filter([{', '.join(f"{{'size': -abs({v}), 'i': {i}, 'n': '{n}', 'v': {v}}}" for i, (n, v) in enumerate(_GIVEN.items()))}],
+  lambda s: s.v IS NOT NULL))[:{NAMED}], lambda s: abs(s.v) > {NOTABLE}), lambda s: s.n || ': ' || CASE WHEN s.v > 0 THEN '+' ELSE '' END || printf('%.2f', s.v)) AS words FROM bounded)""")
+def explanation_text(spark, folder):
+    """The text of given contributions: how far a film's features lie from usual ones."""
+    rows = ops.bounded(ops.enriched(film_views(spark, folder)))
+    given = [(F.col("startYear") - 1950) / F.lit(100.0), (F.col("runtimeMinutes") - 100) / F.lit(100.0), *(F.col(n) - F.col("averageRating") for n in list(_GIVEN)[2:])]
+    return rows.select("tconst", explanation(list(_GIVEN), F.array(*given)).alias("explanation"))

@@ -51,10 +51,26 @@ def serving_actor_key(*actors: Column) -> Column:
     return F.when(joined == "", UNKNOWN).otherwise(joined)
 
 
+def round_cents(value: Column) -> Column:
+    """Two decimals, to the nearest by the exact binary value and to even on ties: as Python rounds and prints.
+
+    Spark's own rounding looks at the shortest decimal form instead. The product with 100 is taken with its rounding
+    error, so that values next to a tie fall on their side. For absolute values below 2**46; null stays null.
+    """
+    product = value * 100.0
+    big = value * 134217729.0
+    high = big - (big - value)
+    error = (high * 100.0 - product) + (value - high) * 100.0
+    whole = F.floor(product).cast("double")
+    beyond = (product - whole - 0.5) + error
+    up = (beyond > 0) | ((beyond == 0) & (whole % 2 != 0))
+    return F.when(up, whole + 1).otherwise(whole) / 100.0
+
+
 def clamp_rating(rating: Column) -> Column:
     """Within 0 and 10, rounded to two decimals; null stays null, and so does not-a-number."""
     usable = F.when(~F.isnan(rating), rating)
-    return F.when(usable.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(float(LARGEST_RATING)), usable)), 2))
+    return F.when(usable.isNotNull(), round_cents(F.greatest(F.lit(0.0), F.least(F.lit(float(LARGEST_RATING)), usable))))
 
 
 def numeric_features(title: Column, director_stats: bool = True, actor_stats: bool = True) -> dict[str, Column]:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filmloom.functions.features import round_cents
 from filmloom.operators.model import RatingModel
 
 # Number of factors named, the size from which one is named, and the words around them.
@@ -108,5 +109,5 @@ def explanation(names: list[str], values: Column) -> Column:
     named = F.zip_with(F.lit(names), values, lambda n, v: F.struct(n.alias("n"), v.alias("v")))
     ranked = F.transform(named, lambda s, i: F.struct((-F.abs(s["v"])).alias("size"), i.alias("i"), s["n"].alias("n"), s["v"].alias("v")))
     top = F.slice(F.array_sort(F.filter(ranked, lambda s: s["v"].isNotNull())), 1, NAMED)
-    words = F.transform(F.filter(top, lambda s: F.abs(s["v"]) > NOTABLE), lambda s: F.concat(s["n"], F.lit(": "), F.when(s["v"] > 0, "+").otherwise(""), F.format_string("%.2f", s["v"])))
+    words = F.transform(F.filter(top, lambda s: F.abs(s["v"]) > NOTABLE), lambda s: F.concat(s["n"], F.lit(": "), F.when(s["v"] > 0, "+").otherwise(""), F.format_string("%.2f", round_cents(s["v"]))))
     return F.when(F.size(words) > 0, F.concat(F.lit(BECAUSE), F.array_join(words, "; "))).when(values.isNotNull(), NOTHING)

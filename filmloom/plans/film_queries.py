@@ -310,7 +310,7 @@ def serving_feature_rows(spark, folder):
     return serving_features(_requests(spark, folder), film_views(spark, folder))
 
 
-@query("SELECT tconst, round(greatest(0.0::DOUBLE, least(10.0::DOUBLE, averageRating * 1.5 - 2)), 2) AS rating FROM ratings WHERE averageRating IS NOT NULL")
+@query("SELECT tconst, CAST(printf('%.2f', greatest(0.0::DOUBLE, least(10.0::DOUBLE, averageRating * 1.5::DOUBLE - 2))) AS DOUBLE) AS rating FROM ratings WHERE averageRating IS NOT NULL")
 def clamped_rating(spark, folder):
     """Ratings stretched beyond their range, clamped and rounded."""
     return film_views(spark, folder).ratings.where("averageRating is not null").select("tconst", clamp_rating(F.col("averageRating") * 1.5 - 2).alias("rating"))

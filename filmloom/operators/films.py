@@ -86,48 +86,52 @@ def actor_slots(films: Films, by_place: bool = False) -> DataFrame:
     return leading_actors(films).groupBy("tconst").agg(*(F.max(F.when(slot == k, F.col("nconst"))).alias(f"actor_{k}_nconst") for k in range(1, SLOTS + 1)))
 
 
-def people_ratings(films: Films, categories: tuple[str, ...], least: int) -> DataFrame:
-    """Mean rating of each person over their credits of the categories in rated films, with at least `least` credits.
+def role_ratings(films: Films) -> DataFrame:
+    """Mean ratings of each person as director and as actor: (nconst, director_avg, director_credits, actor_avg, actor_credits).
 
-    Credit rows count, not films. They are summed per person and title before the join with the ratings, so that a
-    person or title with a third of all rows is a few rows there.
+    Credit rows in rated films count, not films. They are summed per person and title before the join with the ratings,
+    so that a person or title with a third of all rows is a few rows there; both roles share one pass. A mean is null
+    where the role's credits are fewer than it needs.
     """
-    held = films.credits.where(F.col("category").isin(*categories) & F.col("nconst").isNotNull()).groupBy("tconst", "nconst").agg(F.count(F.lit(1)).alias("n"))
+    roles = {"director": (F.col("category") == "director", DIRECTOR_CREDITS), "actor": (F.col("category").isin(*ACTORS), ACTOR_CREDITS)}
+    named = films.credits.where(F.col("category").isin(*KEPT_CATEGORIES) & F.col("nconst").isNotNull())
+    held = named.groupBy("tconst", "nconst").agg(*(F.count_if(is_role).alias(role) for role, (is_role, _) in roles.items()))
     rated = held.join(rated_films(films).select("tconst", exact(F.col("averageRating")).alias("r")), "tconst")
-    sums = rated.groupBy("nconst").agg(F.sum(F.col("r") * F.col("n")).alias("total"), F.sum("n").alias("n_credits"))
-    return sums.where(F.col("n_credits") >= least).select("nconst", mean_rating(F.col("total"), F.col("n_credits")).alias("avg_rating"), "n_credits")
+    sums = rated.groupBy("nconst").agg(*(a for role in roles for a in (F.sum(F.col("r") * F.col(role)).alias(f"{role}_total"), F.sum(role).alias(f"{role}_credits"))))
+    means = {f"{role}_avg": F.when(F.col(f"{role}_credits") >= least, mean_rating(F.col(f"{role}_total"), F.col(f"{role}_credits"))) for role, (_, least) in roles.items()}
+    return sums.withColumns(means).select("nconst", "director_avg", "director_credits", "actor_avg", "actor_credits")
 
 
 def director_ratings(films: Films) -> DataFrame:
-    return people_ratings(films, ("director",), DIRECTOR_CREDITS)
+    """(nconst, avg_rating, n_credits) of people with enough credits as director."""
+    return role_ratings(films).where("director_avg is not null").select("nconst", F.col("director_avg").alias("avg_rating"), F.col("director_credits").alias("n_credits"))
 
 
 def actor_ratings(films: Films) -> DataFrame:
-    return people_ratings(films, ACTORS, ACTOR_CREDITS)
+    """(nconst, avg_rating, n_credits) of people with enough credits as actor."""
+    return role_ratings(films).where("actor_avg is not null").select("nconst", F.col("actor_avg").alias("avg_rating"), F.col("actor_credits").alias("n_credits"))
 
 
 def enriched(films: Films, by_place: bool = False) -> DataFrame:
     """Rated films with director, leading actors and their mean ratings: 15 columns, one row per film.
 
-    Of several people at a first director's place the director with the smallest nconst counts. The people's means are
-    computed once; the three actor slots are joined as one long column and folded back, which is one shuffle by person
-    and one by title instead of three joins by person.
+    Of several people at a first director's place the director with the smallest nconst counts. One window finds the
+    director (slot 0) and the leading actors (slots 1 to 3) of a title; all slots are one long table that meets the
+    people's means in one join by person and is folded back by title, instead of a join for each slot.
     """
-    director = films.credits.where("category = 'director'").groupBy("tconst").agg(F.min(F.struct("ordering", "nconst")).alias("first"))
-    directors = director.select("tconst", F.col("first.nconst").alias("nconst")).join(
-        director_ratings(films).select("nconst", "avg_rating"), "nconst", "left"
-    ).select("tconst", F.col("nconst").alias("director_nconst"), F.col("avg_rating").alias("director_avg_rating"))
-    slots = actor_slots(films, by_place)
-    long = slots.select("tconst", F.posexplode(F.array(*(f"actor_{k}_nconst" for k in range(1, SLOTS + 1)))).alias("slot", "nconst")).where("nconst is not null")
-    scored = long.join(actor_ratings(films).select("nconst", "avg_rating"), "nconst", "left")
-    wide = scored.groupBy("tconst").agg(
-        *(F.max(F.when(F.col("slot") == k - 1, F.col("nconst"))).alias(f"actor_{k}_nconst") for k in range(1, SLOTS + 1)),
-        *(F.max(F.when(F.col("slot") == k - 1, F.col("avg_rating"))).alias(f"actor_{k}_avg_rating") for k in range(1, SLOTS + 1)),
-    )
-    return rated_films(films).join(directors, "tconst", "left").join(wide, "tconst", "left").select(
-        "tconst", "primaryTitle", "startYear", "runtimeMinutes", "genres", "averageRating", "numVotes", "director_nconst", "director_avg_rating",
-        *(f"actor_{k}_nconst" for k in range(1, SLOTS + 1)), *(f"actor_{k}_avg_rating" for k in range(1, SLOTS + 1)),
-    )
+    role = F.when(F.col("category") == "director", 0).otherwise(1)
+    order = Window.partitionBy("tconst", "role").orderBy("ordering", "nconst")
+    credits = films.credits.where(F.col("category").isin(*KEPT_CATEGORIES)).select("tconst", role.alias("role"), "ordering", "nconst")
+    leading = credits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SLOTS)
+    slot = F.when(F.col("role") == 1, F.col("place" if by_place else "ordering")).when(F.col("place") == 1, 0)
+    long = leading.select("tconst", "nconst", slot.cast("int").alias("slot")).where(F.col("slot").between(0, SLOTS) & F.col("nconst").isNotNull())
+    means = role_ratings(films).select("nconst", "director_avg", "actor_avg").where("director_avg is not null or actor_avg is not null")
+    scored = long.join(means, "nconst", "left").select("tconst", "slot", F.struct("nconst", F.when(F.col("slot") == 0, F.col("director_avg")).otherwise(F.col("actor_avg")).alias("avg")).alias("p"))
+    wide = scored.groupBy("tconst").agg(*(F.max(F.when(F.col("slot") == k, F.col("p"))).alias(f"p{k}") for k in range(SLOTS + 1)))
+    names = ["director", *(f"actor_{k}" for k in range(1, SLOTS + 1))]
+    ids, ratings = ([F.col(f"p{k}.{part}").alias(f"{name}_{what}") for k, name in enumerate(names)] for part, what in (("nconst", "nconst"), ("avg", "avg_rating")))
+    columns = ["tconst", "primaryTitle", "startYear", "runtimeMinutes", "genres", "averageRating", "numVotes"]
+    return rated_films(films).join(wide, "tconst", "left").select(*columns, ids[0], ratings[0], *ids[1:], *ratings[1:])
 
 
 def bounded(rows: DataFrame) -> DataFrame:

@@ -73,11 +73,13 @@ def assign_splits(items: DataFrame, targets: list[tuple[str, float]]) -> DataFra
     The driver sees the histogram of group sizes only: sizes that differ are at most the square root of twice the
     number of items. Groups of one size are ranked by hash bucket, so that no task orders them all, and a rank's place
     among the counts of `greedy_counts` gives the split. Shares are scaled to sum 1; a share that is null or not
-    positive gets nothing.
+    positive gets nothing; without any positive share no item is assigned.
     """
     targets = [(n, float(s)) for n, s in targets if n is not None and s is not None and s > 0]
-    if not targets or len(targets) > MAX_SPLITS:
-        raise ValueError(f"1 to {MAX_SPLITS} splits with a positive share are needed")
+    if len(targets) > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits")
+    if not targets:
+        return items.select("item", "group", F.lit("").alias("split_name")).where("false")
     whole = sum(s for _, s in targets)
     spark = items.sparkSession
     groups = cut(items.where("item = group").select("group", "items"))

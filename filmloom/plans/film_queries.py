@@ -322,37 +322,40 @@ def clamped_rating(spark, folder):
 ITERATIONS, DEPTH = 20, 5
 
 
-def _model(spark: SparkSession, folder: str) -> tuple[RatingModel, dict, DataFrame]:
+def _model(spark: SparkSession, folder: str) -> tuple[RatingModel | None, dict, DataFrame]:
     rows = ops.training_rows(ops.enriched(film_views(spark, folder)))
-    model, metadata = train(rows, ITERATIONS, DEPTH)
-    if model is None:
-        raise ValueError("no film has all features")
-    return model, metadata, rows
+    return *train(rows, ITERATIONS, DEPTH), rows
 
 
 @query()
 def train_predict(spark, folder):
-    """Ratings of a request for every title, by the model of the same tables."""
+    """Ratings of a request for every title, by the model of the same tables; null where no film can be learned from."""
     model, _, _ = _model(spark, folder)
-    return model.score(serving_features(_requests(spark, folder), film_views(spark, folder))).select("request_id", "rating")
+    features = serving_features(_requests(spark, folder), film_views(spark, folder))
+    scored = model.score(features) if model else features.withColumn("rating", F.lit(None).cast("double"))
+    return scored.select("request_id", "rating")
 
 
 @query()
 def model_metrics(spark, folder):
-    _, metadata, _ = _model(spark, folder)
-    row = [(metadata["total_rows"], metadata["test_rows"], metadata["test_mae"], metadata["test_rmse"], metadata["test_r2"])]
-    return spark.createDataFrame(row, "total_rows bigint, test_rows bigint, mae double, rmse double, r2 double")
+    """Rows used and held-out measures; no row where no film can be learned from."""
+    _, m, _ = _model(spark, folder)
+    rows = [(m["total_rows"], m["test_rows"], m["test_mae"], m["test_rmse"], m["test_r2"])] if m else []
+    return spark.createDataFrame(rows, "total_rows bigint, test_rows bigint, mae double, rmse double, r2 double")
 
 
 @query()
 def feature_importance(spark, folder):
-    return _model(spark, folder)[0].importance(spark)
+    model, _, _ = _model(spark, folder)
+    return model.importance(spark) if model else spark.createDataFrame([], "feature string, importance double")
 
 
 @query()
 def shap_contributions(spark, folder):
-    """Contributions and explanation of every film's predicted rating."""
+    """Contributions and explanation of every film's predicted rating; no rows where no film can be learned from."""
     model, metadata, rows = _model(spark, folder)
+    if model is None:
+        return rows.select("tconst", *(F.lit(0.0).alias(n) for n in ("prediction", "rating", "base")), F.array(F.lit(0.0)).alias("contributions"), F.lit("").alias("explanation")).where("false")
     explained = contributions(model, rows, "tconst")
     return explained.select("tconst", "prediction", "rating", "base", "contributions", explanation(metadata["feature_names"], F.col("contributions")).alias("explanation"))
 

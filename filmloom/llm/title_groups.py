@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.llm.splits import MAX_SPLITS, assign_splits, groups_of
@@ -34,8 +35,8 @@ def p3_split_report(spark: SparkSession, folder: str) -> DataFrame:
     """Titles of each split and their share beside the target."""
     counts = p3_splits(spark, folder).groupBy("split_name").agg(F.count(F.lit(1)).alias("titles"))
     counts = counts.join(table(spark, folder, "split_targets").select("split_name", "target_share"), "split_name", "right").withColumn("titles", F.coalesce("titles", F.lit(0)))
-    total = counts.agg(F.sum("titles").alias("total"))
-    return counts.join(F.broadcast(total)).select("split_name", "target_share", "titles", (F.col("titles") / F.col("total")).alias("actual_share"))
+    total = F.greatest(F.lit(1), F.sum("titles").over(Window.partitionBy()))  # one row per split
+    return counts.select("split_name", "target_share", "titles", (F.col("titles") / total).alias("actual_share"))
 
 
 #: Least number of common titles, and least ratio to the number expected by chance.

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filmloom.operators.deliveries import parse_deliveries, plain_text
-from filmloom.operators.packed import explode_packed
 from filmloom.functions.keys import clean_key, clean_key_sql
+from filmloom.operators.deliveries import parse_deliveries, plain_text
 from filmloom.operators.orphans import orphan_references
+from filmloom.operators.packed import explode_packed
 from filmloom.operators.skew import LoadPlan, fragment_replicate_join, per_key_counts, plan_loads
 from filmloom.operators.snapshots import snapshot_changes
 from filmloom.sources.tables import table
@@ -149,7 +149,8 @@ FROM judged WHERE reason IS NULL"""
 
 #: Key columns of title_principals by their number in load plans.
 KEY_COLUMNS = ("nconst", "tconst")
-HEAVY_SHARE = 0.01
+#: A heavy key holds at least one row in so many.
+ONE_IN = 100
 
 
 def _credit_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, LoadPlan]:
@@ -164,7 +165,7 @@ def _credit_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, LoadPlan]
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     keyed, plan = _credit_keys(spark, folder)
-    heavy = per_key_counts(keyed, plan).where(F.col("n_rows") >= HEAVY_SHARE * plan.rows)
+    heavy = per_key_counts(keyed, plan).where(F.col("n_rows") * ONE_IN >= plan.rows)
     return heavy.select(F.element_at(F.lit(list(KEY_COLUMNS)), F.col("kind") + 1).alias("key_column"), F.col("key").alias("key_value"))
 
 
@@ -192,8 +193,8 @@ FROM c WHERE nconst IS NOT NULL GROUP BY nconst
 UNION ALL SELECT 'tconst', tconst, count(*), count(DISTINCT nconst), count(DISTINCT category) FROM c WHERE tconst IS NOT NULL GROUP BY tconst
 """
 P5_FOUND_SQL = f"""{_CREDITS_SQL}
-SELECT 'nconst' AS key_column, nconst AS key_value FROM c WHERE nconst IS NOT NULL GROUP BY nconst HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM c)
-UNION ALL SELECT 'tconst', tconst FROM c WHERE tconst IS NOT NULL GROUP BY tconst HAVING count(*) >= {HEAVY_SHARE} * (SELECT count(*) FROM c)
+SELECT 'nconst' AS key_column, nconst AS key_value FROM c WHERE nconst IS NOT NULL GROUP BY nconst HAVING count(*) * {ONE_IN} >= (SELECT count(*) FROM c)
+UNION ALL SELECT 'tconst', tconst FROM c WHERE tconst IS NOT NULL GROUP BY tconst HAVING count(*) * {ONE_IN} >= (SELECT count(*) FROM c)
 """
 P5_NAMED_CREDITS_SQL = f"""
 SELECT {clean_key_sql("p.tconst")} AS tconst, p.ordering, {clean_key_sql("p.nconst")} AS nconst, n.primaryName

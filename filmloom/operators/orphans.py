@@ -57,3 +57,22 @@ def orphan_references(refs: DataFrame, target: DataFrame) -> DataFrame:
     )
     month = F.date_format("day", "yyyy-MM").alias("ref_month")
     return settled.union(within).select(month, "key").distinct()
+
+
+def count_deltas(refs: DataFrame, target: DataFrame) -> DataFrame:
+    """Signed changes (key, refs, existing) that reference rows (key) and target rows (key, start, end) make."""
+    named = refs.where("key is not null").select("key", F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("existing"))
+    return named.unionByName(existence_deltas(target).select("key", F.lit(0).cast("bigint").alias("refs"), F.col("delta").cast("bigint").alias("existing")))
+
+
+def merge_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Counts (key, refs, existing) after more deltas of the same form; removed references come with negative refs.
+
+    Also right for a stream of deltas, where Spark keeps the sums as state. Keys with nothing left stay with zeros.
+    """
+    return counts.unionByName(deltas).groupBy("key").agg(F.sum("refs").alias("refs"), F.sum("existing").alias("existing"))
+
+
+def current_orphans(counts: DataFrame) -> DataFrame:
+    """The counts of keys that are referred to and don't exist."""
+    return counts.where("refs > 0 and existing = 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.operators.deliveries import parse_deliveries, plain_text
-from filmloom.operators.orphans import orphan_references
+from filmloom.operators.orphans import count_deltas, current_orphans, merge_counts, orphan_references
 from filmloom.operators.packed import explode_packed
 from filmloom.operators.skew import LoadPlan, fragment_replicate_join, per_key_counts, plan_loads
 from filmloom.operators.snapshots import snapshot_changes
@@ -37,27 +37,46 @@ WHERE b.tconst IS NULL OR a.tconst IS NULL OR a.r IS DISTINCT FROM b.r OR a.v IS
 """
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    def lifetimes(name: str, key: str) -> DataFrame:
-        return table(spark, folder, name).select(
-            clean_key(key).alias("key"), F.col("added_at").cast("timestamp_ntz").alias("start"), F.col("deleted_at").cast("timestamp_ntz").alias("end")
-        )
+#: Tables that refer, by key and time, and the tables they refer to.
+REFERENCES = (("title_principals", "nconst", "recorded_at", "name_basics"), ("title_ratings", "tconst", "snapshot_date", "title_basics"))
+
+
+def _lifetimes(spark: SparkSession, folder: str, name: str, key: str) -> DataFrame:
+    return table(spark, folder, name).select(
+        clean_key(key).alias("key"), F.col("added_at").cast("timestamp_ntz").alias("start"), F.col("deleted_at").cast("timestamp_ntz").alias("end")
+    )
 
-    def refs(name: str, key: str, time: str) -> DataFrame:
-        return table(spark, folder, name).select(clean_key(key).alias("key"), F.col(time).cast("timestamp_ntz").alias("t"))
 
+def _refs(spark: SparkSession, folder: str, name: str, key: str, time: str) -> DataFrame:
+    return table(spark, folder, name).select(clean_key(key).alias("key"), F.col(time).cast("timestamp_ntz").alias("t"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
-        orphan_references(refs(source, key, time), lifetimes(target, key)).select(
-            F.lit(source).alias("source_table"), "ref_month", F.col("key").alias("ref_key")
-        )
-        for source, key, time, target in (
-            ("title_principals", "nconst", "recorded_at", "name_basics"),
-            ("title_ratings", "tconst", "snapshot_date", "title_basics"),
-        )
+        orphan_references(_refs(spark, folder, source, key, time), _lifetimes(spark, folder, target, key)).select(F.lit(source).alias("source_table"), "ref_month", F.col("key").alias("ref_key"))
+        for source, key, time, target in REFERENCES
     ]
     return parts[0].union(parts[1])
 
 
+def p2_current(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys that are referred to and have no row left, with their references: the report of the signed counts."""
+    parts = []
+    for source, key, time, target in REFERENCES:
+        deltas = count_deltas(_refs(spark, folder, source, key, time).where("t is not null"), _lifetimes(spark, folder, target, key))
+        parts.append(current_orphans(merge_counts(deltas.limit(0), deltas)).select(F.lit(source).alias("source_table"), F.col("key").alias("ref_key"), F.col("refs").alias("n_refs")))
+    return parts[0].union(parts[1])
+
+
+def _p2_current_sql(source: str, key: str, time: str, target: str) -> str:
+    return f"""
+SELECT '{source}' AS source_table, k AS ref_key, count(*) AS n_refs FROM (SELECT {clean_key_sql(key)} AS k FROM {source} WHERE {time} IS NOT NULL)
+WHERE k IS NOT NULL AND k NOT IN (SELECT {clean_key_sql(key)} FROM {target} WHERE {clean_key_sql(key)} IS NOT NULL AND added_at IS NOT NULL AND deleted_at IS NULL) GROUP BY k"""
+
+
+P2_CURRENT_SQL = "\nUNION ALL".join(_p2_current_sql(*r) for r in REFERENCES)
+
+
 def _p2_sql(source: str, key: str, time: str, target: str) -> str:
     return f"""
 SELECT DISTINCT '{source}' AS source_table, strftime(r.t, '%Y-%m') AS ref_month, r.k AS ref_key
@@ -67,7 +86,7 @@ LEFT JOIN (SELECT DISTINCT {clean_key_sql(key)} AS k, added_at, deleted_at FROM
 WHERE r.k IS NOT NULL AND r.t IS NOT NULL AND d.k IS NULL"""
 
 
-P2_FOUND_SQL = _p2_sql("title_principals", "nconst", "recorded_at", "name_basics") + "\nUNION ALL" + _p2_sql("title_ratings", "tconst", "snapshot_date", "title_basics")
+P2_FOUND_SQL = "\nUNION ALL".join(_p2_sql(*r) for r in REFERENCES)
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -204,6 +223,7 @@ FROM title_principals p LEFT JOIN (SELECT {clean_key_sql("nconst")} AS k, min(pr
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_current": p2_current,
     "p5_found": p5_found,
     "p5_key_counts": p5_key_counts,
     "p5_named_credits": p5_named_credits,
@@ -215,6 +235,7 @@ QUERIES = {
 ORACLES = {
     "p1_found": P1_FOUND_SQL,
     "p2_found": P2_FOUND_SQL,
+    "p2_current": P2_CURRENT_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_key_counts": P5_KEY_COUNTS_SQL,
     "p5_named_credits": P5_NAMED_CREDITS_SQL,

@@ -44,3 +44,32 @@ def test_borders(spark):
 def test_empty(spark):
     assert run(spark, [("k", START)], []) == {("2024-01", "k")}
     assert run(spark, [], [("k", START, None)]) == set()
+
+
+def test_counts(spark):
+    from filmloom.operators.orphans import count_deltas, current_orphans, merge_counts
+
+    refs = spark.createDataFrame([("a",), ("a",), ("b",), ("c",), (None,)], "key string")
+    target = spark.createDataFrame([("b", START, None), ("c", START, START + timedelta(1)), ("c", START, START)], "key string, start timestamp_ntz, `end` timestamp_ntz")
+    deltas = count_deltas(refs, target)
+    counts = merge_counts(deltas.limit(0), deltas)
+    assert {tuple(r) for r in current_orphans(counts).collect()} == {("a", 2, 0), ("c", 1, 0)}
+    more = spark.createDataFrame([("a", 0, 1), ("c", -1, 0), ("b", 0, -1), ("d", 1, 0)], "key string, refs bigint, existing bigint")
+    assert {r["key"] for r in current_orphans(merge_counts(counts, more)).collect()} == {"b", "d"}
+
+
+def test_stream(spark, tmp_path):
+    from filmloom.streaming.orphans import keep_orphan_report, latest_report
+
+    schema = "key string, refs bigint, existing bigint"
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = keep_orphan_report(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/state")
+        q.awaitTermination(60)
+        assert q.exception() is None
+        return {r["key"] for r in latest_report(spark.read.parquet(f"{tmp_path}/out")).collect()}
+
+    assert step([("a", 2, 0), ("b", 1, 1), (None, 1, 0)]) == {"a"}
+    assert step([("b", 0, -1), ("c", 1, 0)]) == {"a", "b", "c"}
+    assert step([("a", -2, 0), ("c", 0, 1)]) == {"b"}

@@ -34,7 +34,7 @@ def load_films(raw: Films) -> Films:
 
     The three dependent tables are filtered by semi-joins on distinct keys; nothing is collected.
     """
-    titles = raw.titles.where("titleType = 'movie' and startYear is not null and runtimeMinutes is not null and genres is not null")
+    titles = usable(raw.titles)
     keys = titles.select("tconst")
     credits = raw.credits.join(keys, "tconst", "left_semi").where(F.col("category").isin(*KEPT_CATEGORIES))
     return Films(titles, raw.ratings.join(keys, "tconst", "left_semi"), credits, raw.people.join(credits.select("nconst").distinct(), "nconst", "left_semi"))
@@ -51,8 +51,20 @@ def exact(rating: Column) -> Column:
 
 def rated_films(films: Films) -> DataFrame:
     """Films with a rating: (tconst, primaryTitle, startYear, runtimeMinutes, genres, averageRating, numVotes)."""
-    movies = films.titles.where("titleType = 'movie' and startYear is not null and runtimeMinutes is not null and genres is not null")
-    return movies.join(films.ratings.where("averageRating is not null"), "tconst").select("tconst", "primaryTitle", "startYear", "runtimeMinutes", "genres", "averageRating", "numVotes")
+    return usable(films.titles).join(films.ratings.where("averageRating is not null"), "tconst").select("tconst", "primaryTitle", "startYear", "runtimeMinutes", "genres", "averageRating", "numVotes")
+
+
+def usable(titles: DataFrame) -> DataFrame:
+    """Films with year, runtime and genres."""
+    return titles.where("titleType = 'movie' and startYear is not null and runtimeMinutes is not null and genres is not null")
+
+
+def page(keys: DataFrame, key: str, after: str, rows: int, pages: int = 1) -> DataFrame:
+    """The next `pages` pages of `rows` keys beyond `after`, in order; null keys are on no page.
+
+    A top-k, not a sort: each task keeps its own first rows. Keys that occur twice fill two rows.
+    """
+    return keys.select(key).where(F.col(key) > after).orderBy(key).limit(rows * pages)
 
 
 def director_ordering(films: Films) -> DataFrame:

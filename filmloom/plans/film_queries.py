@@ -73,7 +73,20 @@ PAGE_ROWS, PAGE_AFTER = 10_000, ""
 @query(f"SELECT tconst FROM movies WHERE tconst > '{PAGE_AFTER}' ORDER BY tconst LIMIT {PAGE_ROWS}")
 def keyset_page(spark, folder):
     """A page of film keys after a given one: the limit is the feature."""
-    return film_views(spark, folder).titles.where("titleType = 'movie' and startYear is not null and runtimeMinutes is not null and genres is not null").select("tconst").where(F.col("tconst") > PAGE_AFTER).orderBy("tconst").limit(PAGE_ROWS)
+    return ops.page(ops.usable(film_views(spark, folder).titles), "tconst", PAGE_AFTER, PAGE_ROWS)
+
+
+#: Pages of the registered capped run.
+PAGE_CAP = 3
+
+
+@query(f"""SELECT tconst, genre FROM (SELECT tconst, unnest(string_split(genres, ',')) AS genre FROM movies
+WHERE tconst IN (SELECT tconst FROM movies ORDER BY tconst LIMIT {PAGE_ROWS * PAGE_CAP}))""")
+def capped_pages(spark, folder):
+    """Genres of the films on the first PAGE_CAP pages: the cap is the feature."""
+    movies = ops.usable(film_views(spark, folder).titles)
+    kept = movies.join(ops.page(movies, "tconst", "", PAGE_ROWS, PAGE_CAP), "tconst", "left_semi")
+    return kept.select("tconst", F.explode(split_genres(F.col("genres"))).alias("genre"))
 
 
 @query("SELECT tconst, primaryTitle, startYear, runtimeMinutes, genres, averageRating, numVotes FROM rated")
@@ -85,7 +98,7 @@ def batch_movies(spark, folder):
 def bound_keys(spark, folder):
     """Ratings of a bound list of keys, here all films: the list is a relation and is joined as one."""
     views = film_views(spark, folder)
-    return views.titles.where("titleType = 'movie' and startYear is not null and runtimeMinutes is not null and genres is not null").select("tconst").join(views.ratings, "tconst")
+    return ops.usable(views.titles).select("tconst").join(views.ratings, "tconst")
 
 
 # Genres.

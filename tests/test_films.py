@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filmloom.operators.films import Films, actor_ratings, actor_slots, bounded, director_ratings, enriched, first_directors, leading_actors, load_films, training_rows
+from filmloom.operators.films import Films, actor_ratings, actor_slots, bounded, director_ratings, enriched, first_directors, leading_actors, load_films, page, training_rows
 from filmloom.operators.people import people_lookup, resolve_people
 from filmloom.operators.serving import serving_features
 
@@ -86,3 +86,13 @@ def test_serving(spark, films):
     assert rows[3]["director_avg_rating"] == 6.5 and rows[3]["numVotes_log"] == 0.0
     listed = df.withColumn("genres", F.array(F.lit("horror"), F.lit("sci fi")))
     assert serving_features(listed, films).first()["genres_combined"] == "Horror,Sci-Fi"
+
+
+def test_pages(films):
+    titles = films.titles
+    seen, after = [], ""
+    while rows := [r[0] for r in page(titles, "tconst", after, 4).collect()]:
+        seen += rows
+        after = rows[-1]
+    assert seen == sorted(r["tconst"] for r in titles.collect())
+    assert [r[0] for r in page(titles, "tconst", "", 2, 3).collect()] == seen[:6] and page(titles.limit(0), "tconst", "", 2).count() == 0

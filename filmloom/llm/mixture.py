@@ -35,33 +35,56 @@ class Flow:
         return len(self.to) - 2
 
     def run(self, source: int, sink: int) -> int:
-        """Sends as much as goes, always along a cheapest path; returns the amount."""
+        """Sends as much as goes, always along cheapest paths, all of one cost at a time; returns the amount."""
         total = 0
+        while (far := self._distances(source))[sink] is not None:
+            total += self._send(far, source, sink)
+        return total
+
+    def _distances(self, source: int) -> list[int | None]:
+        far: list[int | None] = [None] * len(self.edges)
+        far[source], queue, waiting = 0, deque([source]), {source}
+        while queue:
+            at = queue.popleft()
+            waiting.discard(at)
+            for e in self.edges[at]:
+                if self.left[e] and (far[self.to[e]] is None or far[at] + self.cost[e] < far[self.to[e]]):
+                    far[self.to[e]] = far[at] + self.cost[e]
+                    if self.to[e] not in waiting:
+                        waiting.add(self.to[e])
+                        queue.append(self.to[e])
+        return far
+
+    def _send(self, far: list[int | None], source: int, sink: int) -> int:
+        """A flow along edges on cheapest paths that depth-first search can't enlarge."""
+        total, tried = 0, [0] * len(self.edges)
+        path: list[int] = []
+        visited, at = {source}, source
         while True:
-            far = [None] * len(self.edges)
-            via = [-1] * len(self.edges)
-            far[source], queue, waiting = 0, deque([source]), {source}
-            while queue:
-                at = queue.popleft()
-                waiting.discard(at)
-                for e in self.edges[at]:
-                    if self.left[e] and (far[self.to[e]] is None or far[at] + self.cost[e] < far[self.to[e]]):
-                        far[self.to[e]], via[self.to[e]] = far[at] + self.cost[e], e
-                        if self.to[e] not in waiting:
-                            waiting.add(self.to[e])
-                            queue.append(self.to[e])
-            if far[sink] is None:
+            if at == sink:
+                amount = min(self.left[e] for e in path)
+                for e in path:
+                    self.left[e] -= amount
+                    self.left[e ^ 1] += amount
+                total += amount
+                path, visited, at = [], {source}, source
+                continue
+            while tried[at] < len(self.edges[at]):
+                e = self.edges[at][tried[at]]
+                to = self.to[e]
+                if self.left[e] and to not in visited and far[to] == far[at] + self.cost[e]:
+                    break
+                tried[at] += 1
+            if tried[at] < len(self.edges[at]):
+                path.append(e)
+                visited.add(to)
+                at = to
+            elif at == source:
                 return total
-            amount, at = None, sink
-            while at != source:
-                amount = self.left[via[at]] if amount is None else min(amount, self.left[via[at]])
-                at = self.to[via[at] ^ 1]
-            at = sink
-            while at != source:
-                self.left[via[at]] -= amount
-                self.left[via[at] ^ 1] += amount
-                at = self.to[via[at] ^ 1]
-            total += amount
+            else:
+                visited.discard(at)
+                at = self.to[path.pop() ^ 1]
+                tried[at] += 1
 
 
 @dataclass(frozen=True)
@@ -84,16 +107,18 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[Target], to
     if not live:
         return 0, []
 
-    def network(quota: dict[int, int]) -> tuple[Flow, list[tuple[int, int, int]], int]:
-        flow = Flow(2 + len(patterns) + len(targets))
+    def network(quota: dict[int, int], priced: bool) -> tuple[Flow, list[tuple[int, int, int]], int]:
+        """The flow, its edges from patterns to sources, and its amount; unpriced, each edge costs one step."""
+        flow, step = Flow(2 + len(patterns) + len(targets)), 1 - priced
         marks = []
         for p, (sources, tokens) in enumerate(patterns):
             sources = [s for s in sources if s in quota]
-            for k in range(max((targets[s].repeats for s in sources), default=0)):
-                flow.add(0, 2 + p, tokens, k)
-            marks += [(p, s, flow.add(2 + p, 2 + len(patterns) + s, tokens * targets[s].repeats)) for s in sources]
+            uses = max((targets[s].repeats for s in sources), default=0)
+            for k in range(uses if priced else min(uses, 1)):
+                flow.add(0, 2 + p, tokens if priced else tokens * uses, k if priced else step)
+            marks += [(p, s, flow.add(2 + p, 2 + len(patterns) + s, tokens * targets[s].repeats, step)) for s in sources]
         for s, tokens in quota.items():
-            flow.add(2 + len(patterns) + s, 1, tokens)
+            flow.add(2 + len(patterns) + s, 1, tokens, step)
         return flow, marks, flow.run(0, 1)
 
     def quotas(size: int) -> dict[int, int]:
@@ -104,9 +129,9 @@ def route(patterns: list[tuple[tuple[int, ...], int]], targets: list[Target], to
         while low < high:  # more is never easier
             middle = (low + high + 1) // 2
             wanted = quotas(middle)
-            low, high = (middle, high) if network(wanted)[2] == sum(wanted.values()) else (low, middle - 1)
+            low, high = (middle, high) if network(wanted, False)[2] == sum(wanted.values()) else (low, middle - 1)
         total = low
-    flow, marks, _ = network(quotas(total))
+    flow, marks, _ = network(quotas(total), True)
     return total, [(p, s, flow.left[e ^ 1]) for p, s, e in marks if flow.left[e ^ 1]]
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,47 +15,52 @@ from filmloom.scratch import cut, join_counted
 EDGES_PER_TASK = 2_000_000
 
 
-def forest(a: pa.Array, b: pa.Array, seed: int) -> tuple[pa.Array, pa.Array]:
-    """Every node of the edges (a, b) with its component's root, the node of least seeded hash.
+def forest(a: pa.Array, b: pa.Array, a_hash: np.ndarray, b_hash: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The nodes of the edges (a, b), the place of each one's root among them, and their hashes.
 
-    Vectorised union-find: the larger root of each edge is hooked to the smaller, then paths are halved, until no edge
-    joins two roots.
+    A component's root is its node of least hash. Vectorised union-find on Arrow's own node codes: the larger root of
+    each edge is hooked to the smaller, then paths are halved, until no edge joins two roots.
     """
     both = pa.chunked_array([a, b]).combine_chunks().dictionary_encode()
-    names = both.dictionary
     codes = both.indices.to_numpy(zero_copy_only=False)
-    rank_of = np.empty(len(names), np.int64)
-    order = np.argsort(pd.util.hash_array(names.to_numpy(zero_copy_only=False), categorize=False, hash_key=f"{seed:016d}"), kind="stable")
-    rank_of[order] = np.arange(len(names))
+    n = len(both.dictionary)
+    hashes = np.empty(n, np.int64)
+    hashes[codes] = np.concatenate([a_hash, b_hash])
+    order = np.argsort(hashes, kind="stable")
+    rank_of = np.empty(n, np.int64)
+    rank_of[order] = np.arange(n)
     u, v = rank_of[codes[: len(a)]], rank_of[codes[len(a) :]]
-    root = np.arange(len(names))
+    root = np.arange(n)
     while len(u):
         low, high = np.minimum(root[u], root[v]), np.maximum(root[u], root[v])
         open_ = low != high
         u, v, low, high = u[open_], v[open_], low[open_], high[open_]
         np.minimum.at(root, high, low)
-        while (step := root[root]).tolist() != root.tolist() if len(root) < 64 else not np.array_equal(step := root[root], root):
+        while not np.array_equal(step := root[root], root):
             root = step
-    return names, names.take(pa.array(order[root[rank_of]]))
+    return both.dictionary, order[root[rank_of]], hashes
 
 
-def _local_forests(level: int):
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, rows, limit = [], [], 0, EDGES_PER_TASK
-        for batch in batches:
-            a.append(batch.column(0))
-            b.append(batch.column(1))
-            rows += batch.num_rows
-            if rows > limit:  # keep the forest only: memory follows the nodes, not the edges
-                node, root = forest(pa.chunked_array(a).combine_chunks(), pa.chunked_array(b).combine_chunks(), level)
-                a, b, rows = [node], [root], len(node)
-                limit = max(EDGES_PER_TASK, 2 * rows)
-        if rows:
-            node, root = forest(pa.chunked_array(a).combine_chunks(), pa.chunked_array(b).combine_chunks(), level)
-            for at in range(0, len(node), 100_000):
-                yield pa.RecordBatch.from_arrays([node.slice(at, 100_000), root.slice(at, 100_000)], ["node", "root"])
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forest of a task's edges (a, b, a_hash, b_hash) as (node, root)."""
+    held: list[pa.RecordBatch | pa.Table] = []
+    rows, limit = 0, EDGES_PER_TASK
 
-    return merge
+    def merged() -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        columns = [pa.chunked_array([c for t in held for c in (t.column(i).chunks if isinstance(t, pa.Table) else [t.column(i)])]).combine_chunks() for i in range(4)]
+        return forest(columns[0], columns[1], columns[2].to_numpy(), columns[3].to_numpy())
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows > limit:  # keep the forest only: memory follows the nodes, not the edges
+            nodes, place, hashes = merged()
+            held, rows = [pa.table([nodes, nodes.take(pa.array(place)), pa.array(hashes), pa.array(hashes[place])], ["a", "b", "a_hash", "b_hash"])], len(nodes)
+            limit = max(EDGES_PER_TASK, 2 * rows)
+    if rows:
+        nodes, place, _ = merged()
+        for at in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([nodes.slice(at, 100_000), nodes.take(pa.array(place[at : at + 100_000]))], ["node", "root"])
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -74,8 +78,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a is not null and b is not null")
     levels = []
     while True:
+        hashed = edges.select("a", "b", F.xxhash64(F.lit(len(levels)), "a").alias("a_hash"), F.xxhash64(F.lit(len(levels)), "b").alias("b_hash"))
         met = (
-            edges.mapInArrow(_local_forests(len(levels)), "node string, root string")
+            hashed.mapInArrow(_local_forest, "node string, root string")
             .groupBy("node")
             .agg(F.collect_set("root").alias("roots"))  # at most one per task
             .select("node", F.array_min("roots").alias("root"), "roots")

@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -29,9 +30,10 @@ def test_forest():
     rng = random.Random(1)
     for n in (1, 5, 200):
         pairs = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(n)]
-        nodes, roots = forest(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), 3)
+        hashed = [np.array([hash((7, x)) for x in side], np.int64) for side in zip(*pairs)]
+        nodes, places, _ = forest(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), *hashed)
         got = {}
-        for node, root in zip(nodes.to_pylist(), roots.to_pylist()):
+        for node, root in zip(nodes.to_pylist(), places.tolist()):
             got.setdefault(root, set()).add(node)
         assert {frozenset(g) for g in got.values()} == plain_groups(pairs)
 
@@ -100,3 +102,16 @@ def test_assignment(spark, monkeypatch):
     assert RANK_BUCKET > 50
     assert assign_splits(df, [("none", 0.0)]).count() == 0
     assert assign_splits(df.limit(0), [("train", 1.0)]).count() == 0
+
+
+def test_forest_of_many_batches(monkeypatch):
+    monkeypatch.setattr(components, "EDGES_PER_TASK", 10)
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(150)}", f"n{rng.randrange(150)}") for _ in range(120)]
+    hashed = [np.array([hash((7, x)) for x in side], np.int64) for side in zip(*pairs)]
+    whole = pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), *map(pa.array, hashed)], ["a", "b", "a_hash", "b_hash"])
+    got = {}
+    for batch in components._local_forest(whole.slice(at, 7) for at in range(0, 120, 7)):
+        for row in batch.to_pylist():
+            got.setdefault(row["root"], set()).add(row["node"])
+    assert {frozenset(g) for g in got.values()} == plain_groups(pairs)

@@ -32,15 +32,8 @@ def _stripped(text: str) -> str:
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[tuple[str, str, str]] = []
-        for text in batch.column(0).to_pylist():
-            if text.isascii():
-                continue
-            for passage in {p.strip() for p in PASSAGE.findall(text)}:
-                if not passage.isascii():
-                    out.append((passage, _stripped(passage), ",".join(str(len(r)) for r in RUN.findall(passage))))
-        columns = [list(c) for c in zip(*out)] or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["passage", "bare", "shape"])
+        found = [p for text in batch.column(0).to_pylist() if not text.isascii() for p in {p.strip() for p in PASSAGE.findall(text)} if not p.isascii()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["passage"])
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +92,10 @@ def learn_mistakes(texts: DataFrame) -> tuple[list[tuple[str, str]], str]:
     size is linear. Classes are formed twice: by the stripped text, and by it and the lengths of what was stripped.
     The driver gets one row per mistake and per character.
     """
-    counted = cut(texts.select("text").mapInArrow(_passages, "passage string, bare string, shape string").groupBy("passage", "bare", "shape").agg(F.count(F.lit(1)).alias("n")))
+    counted = texts.select("text").mapInArrow(_passages, "passage string").groupBy("passage").agg(F.count(F.lit(1)).alias("n"))
+    runs = F.regexp_extract_all("passage", F.lit(r"[^\x00-\x7F]+"), F.lit(0))
+    bare = F.regexp_replace("passage", r"[^\x00-\x7F]+", "")
+    counted = cut(counted.select("passage", "n", bare.alias("bare"), F.array_join(F.transform(runs, lambda r: F.length(r).cast("string")), ",").alias("shape")))
     usual = F.max(F.struct("n", F.col("passage").alias("clean"))).alias("top")
     pairs = None
     for by in (["bare"], ["bare", "shape"]):
@@ -256,41 +252,52 @@ def apply_fixes(text: str, fixes: dict[str, str], mistakes: list[tuple[str, str]
     return PASSAGE.sub(passage, text)
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """(doc, text) with one record for each text, so that no group of copies outweighs other texts.
+
+    Only hashes are grouped; the records of texts that occur again, if they are few, are told without moving any text.
+    """
+    marked = docs.withColumn("hash", F.xxhash64("text"))
+    copies = marked.groupBy("hash").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("hash", "first")
+    return join_counted(marked, cut(copies), ["hash"], "left", 50).where("first is null or doc = first").select("doc", "text")
+
+
 class WrongEncodings:
     """The records of (doc_id, text) with text decoded in a wrong encoding, and their restored text.
 
     Mistakes are learned from near-twins among the passages (`learn_mistakes`), applied to the distinct words of all
     texts (`garbled_words`), and carried back to the records that hold those words; a replacement character is a case
-    by itself. Work on words is shared by all records that hold them. Null and empty texts, ASCII texts and HTML
+    by itself. Work on words is shared by all records that hold them; counts are over texts, not over their copies. Null and empty texts, ASCII texts and HTML
     entities are no cases; repeated rows are one case; a null id is no record.
     """
 
     def __init__(self, documents: DataFrame):
         self.docs = documents.select(F.col("doc_id").alias("doc"), "text").where("doc_id is not null and text is not null")
         kind = self.docs.schema["doc"].dataType.simpleString()
-        self.mistakes, self.alphabet = learn_mistakes(self.docs.select("text").distinct())
-        self.held = cut(self.docs.mapInArrow(_words, f"doc {kind}, word string"))
+        once = without_copies(self.docs)
+        self.mistakes, self.alphabet = learn_mistakes(once)
+        self.held = self.docs.mapInArrow(_words, f"doc {kind}, word string")  # as large as the texts may be: never written
         tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.words = cut(self.held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(tasks))  # small rows, much work each
+        self.words = cut(once.mapInArrow(_words, f"doc {kind}, word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(tasks))  # small rows, much work each
         self.garbled = cut(garbled_words(self.words.where(~F.col("word").contains(LOST)), self.mistakes, self.alphabet))
 
     def found(self) -> DataFrame:
-        lost = self.held.where(F.col("word").contains(LOST)).select("doc")
-        return join_counted(self.held, self.garbled.select("word"), ["word"], "left_semi").select("doc").union(lost).distinct()
+        """(doc): the records with a garbled word or a replacement character, by one more pass over the texts."""
+        bad = cut(self.garbled.select("word").union(self.words.where(F.col("word").contains(LOST)).select("word")))
+        return join_counted(self.held, bad, ["word"], "left_semi").select("doc").distinct()
 
     def restored(self) -> DataFrame:
         """(doc, restored, complete): `complete` is false where a replacement character stays."""
-        fixes = cut(self.garbled.union(lost_words(self.words, self.garbled)))
-        per_doc = join_counted(self.held, fixes, ["word"], "inner").groupBy("doc").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("fixes"))
-        lost = self.held.where(F.col("word").contains(LOST)).select("doc").distinct()
-        cases = per_doc.join(lost, "doc", "full").select("doc", F.coalesce("fixes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("fixes"))
+        lost = self.words.where(F.col("word").contains(LOST)).select("word").join(lost_words(self.words, self.garbled), "word", "left")
+        fixes = cut(self.garbled.union(lost))
+        mend = F.collect_set(F.when(F.col("restored").isNotNull(), F.struct("word", "restored")))
+        cases = cut(join_counted(self.held, fixes, ["word"], "inner").groupBy("doc").agg(mend.alias("fixes")))
         kind, mistakes = self.docs.schema["doc"].dataType.simpleString(), self.mistakes
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = []
-                for text, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                    texts.append(apply_fixes(text, dict(fixes), mistakes))
+                texts = [apply_fixes(t, {f["word"]: f["restored"] for f in fixes}, mistakes) for t, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([LOST not in t for t in texts])], ["doc", "restored", "complete"])
 
-        return self.docs.distinct().join(cases, "doc").select("doc", "text", "fixes").mapInArrow(apply, f"doc {kind}, restored string, complete boolean")
+        broken = join_counted(self.docs, cases, ["doc"], "inner", 2000).dropDuplicates(["doc", "text"])
+        return broken.select("doc", "text", "fixes").mapInArrow(apply, f"doc {kind}, restored string, complete boolean")

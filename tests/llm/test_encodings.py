@@ -52,3 +52,14 @@ def test_found_and_restored(spark):
     assert restored == {i: (clean, True) for i, (_, clean) in wrong.items()}
     empty = WrongEncodings(df.limit(0))
     assert empty.found().count() == empty.restored().count() == 0
+
+
+def test_copies_do_not_outweigh(spark):
+    """A third of all rows are copies of one garbled text."""
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.sample(SENTENCES, 4))) for i in range(60)]
+    text = garble(" ".join(SENTENCES[5:7]), "cp1251", "cp1252")
+    rows += [(1000 + i, text) for i in range(40)] + [(2000, garble(SENTENCES[5], "cp1251", "cp1252"))]
+    cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc"] for r in cases.found().collect()} == {i for i, _ in rows if i >= 1000}
+    assert {r["restored"] for r in cases.restored().collect()} == {" ".join(SENTENCES[5:7]), SENTENCES[5]}

@@ -22,13 +22,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its name, with its SQL twin over the film views."""
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name or another, with its SQL twin over the film views."""
 
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = function
+        QUERIES[name or function.__name__] = function
         if sql is not None:
-            ORACLES[function.__name__] = VIEWS_SQL + sql
+            ORACLES[name or function.__name__] = VIEWS_SQL + sql
         return function
 
     return register
@@ -140,12 +140,12 @@ def _title_sql(column: str, kind: str = "BIGINT") -> str:
                       rf"CAST(regexp_matches({known}, '\p{{Nd}}') AS {kind}) AS has_digit", f"CAST(contains({known}, ':') AS {kind}) AS has_colon"])
 
 
-@query(f"SELECT tconst, {_title_sql('primaryTitle')} FROM titles")
+@query(f"SELECT tconst, {_title_sql('primaryTitle')} FROM titles", name="title_features")
 def title_feature_rows(spark, folder):
     return film_views(spark, folder).titles.select("tconst", *(c.alias(n) for n, c in title_features(F.col("primaryTitle")).items()))
 
 
-@query(f"SELECT doc_id, {_title_sql('text')} FROM documents")
+@query(f"SELECT doc_id, {_title_sql('text')} FROM documents", name="text_features")
 def text_feature_rows(spark, folder):
     """The title features of long texts."""
     return table(spark, folder, "documents").select("doc_id", *(c.alias(n) for n, c in title_features(F.col("text")).items()))
@@ -218,12 +218,12 @@ _CATEGORICAL_SQL = f"{NORMALIZE_SQL} AS genres_combined, coalesce(director_ncons
 _NUMERIC_NAMES = ["startYear", "runtimeMinutes", "numVotes_log", "director_avg_rating", "actor_1_avg_rating", "actor_2_avg_rating", "actor_3_avg_rating", *TITLE_FEATURES]
 
 
-@query(f"SELECT tconst, {_NUMERIC_SQL} FROM bounded")
+@query(f"SELECT tconst, {_NUMERIC_SQL} FROM bounded", name="numeric_features")
 def numeric_feature_rows(spark, folder):
     return ops.bounded(ops.enriched(film_views(spark, folder))).select("tconst", *(c.alias(n) for n, c in numeric_features(F.col("primaryTitle")).items()))
 
 
-@query(f"SELECT tconst, {_CATEGORICAL_SQL} FROM bounded")
+@query(f"SELECT tconst, {_CATEGORICAL_SQL} FROM bounded", name="categorical_features")
 def categorical_feature_rows(spark, folder):
     return ops.bounded(ops.enriched(film_views(spark, folder))).select("tconst", *(c.alias(n) for n, c in categorical_features().items()))
 
@@ -276,8 +276,7 @@ NOBODY = "Nobody By This Name"
     + f""", asked AS (SELECT DISTINCT upper(primaryName) AS name FROM people WHERE trim(primaryName) <> '' UNION ALL SELECT '{NOBODY}'),
 ids AS (SELECT DISTINCT nconst, primaryName FROM people JOIN asked ON lower(primaryName) = lower(name))
 SELECT primaryName, nconst, avg_rating FROM ids JOIN person_stats USING (nconst)
-UNION ALL SELECT name, NULL, 6.5 FROM asked WHERE NOT EXISTS (SELECT 1 FROM ids WHERE lower(ids.primaryName) = lower(asked.name))"""
-)
+UNION ALL SELECT name, NULL, 6.5 FROM asked WHERE NOT EXISTS (SELECT 1 FROM ids WHERE lower(ids.primaryName) = lower(asked.name))""", name="people_lookup")
 def people_by_name(spark, folder):
     """The lookup of every name, asked in upper case, and of one that nobody has."""
     views = film_views(spark, folder)
@@ -318,7 +317,7 @@ FROM (SELECT *, {_title_sql('primaryTitle', 'DOUBLE')}, {NORMALIZE_SQL} AS genre
 )
 
 
-@query(_SERVING_SQL)
+@query(_SERVING_SQL, name="serving_features")
 def serving_feature_rows(spark, folder):
     return serving_features(_requests(spark, folder), film_views(spark, folder))
 
@@ -374,7 +373,7 @@ def shap_contributions(spark, folder):
 
 
 @query(f"""SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, round(1 - avg(e * e) / var_pop(y), 6) AS r2
-FROM (SELECT averageRating AS y, averageRating - coalesce(director_avg_rating, {DEFAULT_RATING}) AS e FROM bounded)""")
+FROM (SELECT averageRating AS y, averageRating - coalesce(director_avg_rating, {DEFAULT_RATING}) AS e FROM bounded)""", name="regression_metrics")
 def regression_measures(spark, folder):
     """The measures of a model, here of the director's mean as the prediction."""
     rows = ops.bounded(ops.enriched(film_views(spark, folder))).withColumn("guess", F.coalesce("director_avg_rating", F.lit(DEFAULT_RATING)))

@@ -53,7 +53,7 @@ def odd(tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_empty(spark, empty, name):
     rows = QUERIES[name](spark, empty).collect()
-    known = {"table_row_counts", "regression_measures", "people_by_name"}
+    known = {"table_row_counts", "regression_metrics", "people_lookup"}
     assert not rows or name in known, rows
 
 

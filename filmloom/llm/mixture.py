@@ -182,11 +182,11 @@ def mix(records: DataFrame, targets: list[Target], seed: int = 0, total: int | N
     within = Window.partitionBy("pattern", "bucket").orderBy("h", "record").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.join(offsets, ["pattern", "bucket"]).withColumn("at", F.col("offset") + F.coalesce(F.sum("tokens").over(within), F.lit(0)))
 
-    def turns(end: Column) -> Column:
-        """Times that the record's start lies before `end` on the unrolled circle."""
-        return F.ceil((end - F.col("at")).cast("decimal(38,0)") / F.col("whole")).cast("bigint")
+    def turns(end: str) -> Column:
+        """Times that the record's start lies before `end` on the unrolled circle, in whole numbers."""
+        return F.expr(f"({end} - at + whole - 1) div whole")
 
-    uses = turns(F.col("span.b")) - turns(F.col("span.a"))
+    uses = turns("span.b") - turns("span.a")
     mine = F.filter("held", lambda h: h["s"] == F.col("span.s"))[0]["doc_id"]
     names = F.lit([t.source for t in targets])
     return (

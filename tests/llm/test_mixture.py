@@ -47,6 +47,14 @@ def test_mix(spark, monkeypatch, bucket):
     assert mix(df.limit(0), targets).count() == 0
 
 
+def test_uses_are_exact_in_large_patterns(spark):
+    """One token beyond a full turn uses the first record twice."""
+    df = spark.createDataFrame([(i, "a", f"r{i}", 4_000_000_000_000 + i) for i in range(3)], "doc_id long, source string, record string, tokens long")
+    whole = sum(r["tokens"] for r in df.collect())
+    uses = lambda total: sorted(r["uses"] for r in mix(df, [Target("a", 1.0, 2)], total=total).collect())
+    assert uses(whole) == [1, 1, 1] and uses(whole + 1) == [1, 1, 2] and uses(2 * whole) == [2, 2, 2] and uses(1) == [1]
+
+
 def test_tokens(spark):
     rows = [("hello world",), ("",), (None,), ("<|endoftext|>",), ("a" * 100_000,)]
     counts = [r[0] for r in spark.createDataFrame(rows, "text string").select(token_count()("text")).collect()]

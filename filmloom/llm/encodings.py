@@ -84,31 +84,37 @@ def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], ["stored", "read"])
 
 
-def learn_mistakes(texts: DataFrame) -> tuple[list[tuple[str, str]], str]:
+def learn_mistakes(texts: DataFrame, words: DataFrame) -> tuple[list[tuple[str, str]], str]:
     """The mistakes that near-twins of `texts` (text) show, most supported first, and the characters of clean passages.
 
+    `words` (word, n) are their distinct words with the number of texts.
     Passages are counted over all texts. Those that are equal but for characters beyond ASCII are twins; within each
     such class the passage in most texts is the clean one, and every other is aligned with it alone, so a class of any
-    size is linear. Classes are formed twice: by the stripped text, and by it and the lengths of what was stripped.
+    size is linear. Classes are formed twice: by the stripped text, and by it and the lengths of what was stripped. Words
+    with two ASCII letters are twins in the same way, but show only UTF-8 read otherwise, whose form can't be chance.
     The driver gets one row per mistake and per character.
     """
     counted = texts.select("text").mapInArrow(_passages, "passage string").groupBy("passage").agg(F.count(F.lit(1)).alias("n"))
     runs = F.regexp_extract_all("passage", F.lit(r"[^\x00-\x7F]+"), F.lit(0))
     bare = F.regexp_replace("passage", r"[^\x00-\x7F]+", "")
     counted = cut(counted.select("passage", "n", bare.alias("bare"), F.array_join(F.transform(runs, lambda r: F.length(r).cast("string")), ",").alias("shape")))
+    spelt = words.select(F.col("word").alias("passage"), "n", F.regexp_replace("word", r"[^\x00-\x7F]+", "").alias("bare")).where(F.col("bare").rlike("[A-Za-z].*[A-Za-z]"))
     usual = F.max(F.struct("n", F.col("passage").alias("clean"))).alias("top")
-    pairs = None
-    for by in (["bare"], ["bare", "shape"]):
-        tops = counted.groupBy(*by).agg(usual, F.count(F.lit(1)).alias("variants")).where("variants > 1").select(*by, "top.clean", F.col("top.n").alias("clean_n"))
-        # twins without any ASCII letter or digit are told by shape only
-        some = F.lit(True) if len(by) > 1 else F.col("bare").rlike("[A-Za-z0-9]")
-        joined = counted.where(some).join(tops, by).where("passage <> clean and (clean_n > n or length(passage) > length(clean))").select("passage", "clean")
-        pairs = joined if pairs is None else pairs.union(joined)
-    mistakes = pairs.distinct().mapInArrow(_explained, "stored string, read string").groupBy("stored", "read").count()
+
+    def twins(rows: DataFrame, *by: str) -> DataFrame:
+        tops = rows.groupBy(*by).agg(usual, F.count(F.lit(1)).alias("variants")).where("variants > 1").select(*by, "top.clean", F.col("top.n").alias("clean_n"))
+        return rows.join(tops, list(by)).where("passage <> clean and (clean_n > n or length(passage) > length(clean))").select("passage", "clean")
+
+    # twins without any ASCII letter or digit are told by shape only
+    pairs = twins(counted.where(F.col("bare").rlike("[A-Za-z0-9]")), "bare").union(twins(counted, "bare", "shape")).distinct()
+    schema = "stored string, read string"
+    shown = pairs.mapInArrow(_explained, schema).union(twins(spelt, "bare").mapInArrow(_explained, schema).where(F.col("stored") == UTF8))
+    mistakes = shown.groupBy("stored", "read").count()
     order = {c: i for i, c in enumerate((UTF8, *SINGLE_BYTE))}
     seen = [(r["stored"], r["read"], r["count"]) for r in mistakes.collect() if r["stored"] == UTF8 or r["count"] >= LEAST_PAIRS]
     seen.sort(key=lambda x: (x[0] != UTF8, -x[2], order[x[0]], order[x[1]]))
-    alphabet = counted.where("n > 1").select(F.explode(F.array_distinct(F.split(F.regexp_replace("passage", r"[\x00-\x7f]", ""), ""))).alias("c")).distinct()
+    usual_text = counted.where("n > 1").select("passage").union(words.where("n > 1").select("word"))
+    alphabet = usual_text.select(F.explode(F.array_distinct(F.split(F.regexp_replace("passage", r"[\x00-\x7f]", ""), ""))).alias("c")).distinct()
     return [(s, r) for s, r, _ in seen], "".join(r["c"] for r in alphabet.collect())
 
 
@@ -267,18 +273,18 @@ class WrongEncodings:
 
     Mistakes are learned from near-twins among the passages (`learn_mistakes`), applied to the distinct words of all
     texts (`garbled_words`), and carried back to the records that hold those words; a replacement character is a case
-    by itself. Work on words is shared by all records that hold them; counts are over texts, not over their copies. Null and empty texts, ASCII texts and HTML
-    entities are no cases; repeated rows are one case; a null id is no record.
+    by itself. Work on words is shared by all records that hold them; counts are over texts, not over their copies.
+    Null and empty texts, ASCII texts and HTML entities are no cases; repeated rows are one case; a null id is no record.
     """
 
     def __init__(self, documents: DataFrame):
         self.docs = documents.select(F.col("doc_id").alias("doc"), "text").where("doc_id is not null and text is not null")
         kind = self.docs.schema["doc"].dataType.simpleString()
         once = without_copies(self.docs)
-        self.mistakes, self.alphabet = learn_mistakes(once)
-        self.held = self.docs.mapInArrow(_words, f"doc {kind}, word string")  # as large as the texts may be: never written
         tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         self.words = cut(once.mapInArrow(_words, f"doc {kind}, word string").groupBy("word").agg(F.count(F.lit(1)).alias("n")).repartition(tasks))  # small rows, much work each
+        self.mistakes, self.alphabet = learn_mistakes(once, self.words)
+        self.held = self.docs.mapInArrow(_words, f"doc {kind}, word string")  # as large as the texts may be: never written
         self.garbled = cut(garbled_words(self.words.where(~F.col("word").contains(LOST)), self.mistakes, self.alphabet))
 
     def found(self) -> DataFrame:

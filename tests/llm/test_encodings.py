@@ -63,3 +63,9 @@ def test_copies_do_not_outweigh(spark):
     cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["doc"] for r in cases.found().collect()} == {i for i, _ in rows if i >= 1000}
     assert {r["restored"] for r in cases.restored().collect()} == {" ".join(SENTENCES[5:7]), SENTENCES[5]}
+
+
+def test_a_single_case_is_learned_from_words(spark):
+    """No passage has a twin, but a word does."""
+    rows = [(1, "La lumière est belle."), (2, "Cette lumiÃ¨re, enfin."), (3, "Une autre lumière encore."), (4, "Rien du tout.")]
+    assert [r["doc"] for r in WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string")).found().collect()] == [2]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,8 +23,10 @@ RUN = re.compile(r"[\x80-\U0010ffff]+")
 LOST = "�"
 #: Passage pairs that must show a mistake between two single-byte encodings, and documents a restored word must occur in.
 LEAST_PAIRS, LEAST_KNOWN = 1, 3
-#: A word counts as known if it is in so many times more documents than its garbled form.
+#: A restored word in so many times more documents than its garbled form needs no other sign of the direction.
 KNOWN_RATIO = 3
+#: Signs beyond ASCII that may stand between the letters of sound text.
+BETWEEN = frozenset("’‘ʼ·‐‑–—…«»„“”‹›­")
 
 
 def _stripped(text: str) -> str:
@@ -47,6 +50,29 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(words, pa.string())], ["doc", "word"])
 
 
+def _script(c: str) -> int:
+    """Of a letter: 0 Latin, 1 Greek, 2 Cyrillic, 3 any other."""
+    return 0 if c < "Ͱ" or "Ḁ" <= c < "ἀ" else 1 if c < "Ѐ" or "ἀ" <= c < "\u2000" else 2 if c < "԰" else 3
+
+
+def oddity(text: str) -> int:
+    """Signs in `text` of a wrong encoding that do not depend on any other text.
+
+    Control characters, a capital after a small letter, letters of two scripts side by side, a symbol between
+    letters or other symbols, each with a character beyond ASCII; and Latin words of three letters or more without an ASCII letter.
+    """
+    if text.isascii():
+        return 0
+    signs = sum("\x80" <= c <= "\x9f" for c in text)
+    for a, b in zip(text, text[1:]):
+        if (a > "\x7f" or b > "\x7f") and a.isalpha() and b.isalpha():
+            signs += (a.islower() and b.isupper()) or _script(a) != _script(b)
+    symbol = [c > "\x9f" and c not in BETWEEN and unicodedata.category(c)[0] not in "LMZ" for c in text]
+    inner = [s or c.isalpha() for s, c in zip(symbol, text)]
+    signs += sum(s and before and after for before, s, after in zip(inner, symbol[1:], inner[2:]))
+    return signs + sum(len(x) >= 3 and all(c > "\x7f" and _script(c) == 0 for c in x) for x in LETTERS.findall(text))
+
+
 def explain(garbled: str, clean: str) -> list[tuple[str, str]]:
     """The mistakes (stored in, read in) that turn `clean` into `garbled`: the same text but for what is beyond ASCII.
 
@@ -80,7 +106,13 @@ def explain(garbled: str, clean: str) -> list[tuple[str, str]]:
 
 def _explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [m for g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in explain(g, c)]
+        found = []
+        for text, top, more in zip(*(c.to_pylist() for c in batch.columns)):
+            gain, longer = oddity(text) - oddity(top), len(text) - len(top)
+            if more > 0 or longer > 0 or gain >= 0:
+                found += explain(text, top)
+            if longer < 0 or gain < 0 or (more == gain == longer == 0):
+                found += explain(top, text)
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([r for _, r in found], pa.string())], ["stored", "read"])
 
 
@@ -89,8 +121,9 @@ def learn_mistakes(texts: DataFrame, words: DataFrame) -> tuple[list[tuple[str,
 
     `words` (word, n) are their distinct words with the number of texts.
     Passages are counted over all texts. Those that are equal but for characters beyond ASCII are twins; within each
-    such class the passage in most texts is the clean one, and every other is aligned with it alone, so a class of any
-    size is linear. Classes are formed twice: by the stripped text, and by it and the lengths of what was stripped. Words
+    such class every other passage is aligned with the one in most texts alone, so a class of any size is linear. That
+    one counts as clean, but where it is the longer or odder (`oddity`) it counts as garbled too; equals count both ways,
+    and `garbled_words` finds the direction from all words. Classes are formed twice: by the stripped text, and by it and the lengths of what was stripped. Words
     with two ASCII letters are twins in the same way, but show only UTF-8 read otherwise, whose form can't be chance.
     The driver gets one row per mistake and per character.
     """
@@ -103,7 +136,7 @@ def learn_mistakes(texts: DataFrame, words: DataFrame) -> tuple[list[tuple[str,
 
     def twins(rows: DataFrame, *by: str) -> DataFrame:
         tops = rows.groupBy(*by).agg(usual, F.count(F.lit(1)).alias("variants")).where("variants > 1").select(*by, "top.clean", F.col("top.n").alias("clean_n"))
-        return rows.join(tops, list(by)).where("passage <> clean and (clean_n > n or length(passage) > length(clean))").select("passage", "clean")
+        return rows.join(tops, list(by)).where("passage <> clean").select("passage", "clean", (F.col("clean_n") - F.col("n")).alias("more"))
 
     # twins without any ASCII letter or digit are told by shape only
     pairs = twins(counted.where(F.col("bare").rlike("[A-Za-z0-9]")), "bare").union(twins(counted, "bare", "shape")).distinct()
@@ -128,7 +161,8 @@ def _other(c: str) -> bool:
 
 
 def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
-    """A function from a word to its candidates (restored, certain, parts): certain ones need no known word beside them."""
+    """A function from a word to its candidates (restored, certain, parts, rule): certain ones need no known word beside
+    them; `rule` is the place of the mistake in the list."""
     clean = {c for c in alphabet if c != LOST and not "\x80" <= c <= "\x9f"}
     readings = [r for s, r in mistakes if s == UTF8]
 
@@ -150,7 +184,7 @@ def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
     def parts(text: str, word: str, least: int) -> list[str]:
         return [x for x in set(LETTERS.findall(text)) - set(LETTERS.findall(word)) if len(x) >= least and not x.isascii()]
 
-    def restore(word: str) -> list[tuple[str, bool, list[str]]]:
+    def restore(word: str) -> list[tuple[str, bool, list[str], int]]:
         now = word
         for _ in range(ROUNDS):
             for read in readings:
@@ -158,14 +192,14 @@ def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
                 if told != now:
                     now = undo_utf8(told, read, possible)
         if now != word:
-            return [(now, True, [])]
+            return [(now, True, [], 0)]
         out = {}
-        for stored, read in mistakes:
+        for rule, (stored, read) in enumerate(mistakes):
             text = undo_utf8(word, read, possible) if stored == UTF8 else undo_single(word, stored, read)
             if text and text != word and text not in out and all(c.isascii() or c in clean for c in text):
                 if new := parts(text, word, 1 if stored == UTF8 else 3):
-                    out[text] = new
-        return [(text, False, new) for text, new in out.items()]
+                    out[text] = new, rule
+        return [(text, False, new, rule) for text, (new, rule) in out.items()]
 
     return restore
 
@@ -176,10 +210,10 @@ def _restored(mistakes: list[tuple[str, str]], alphabet: str):
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(word, n, text, certain, parts) for text, certain, parts in restore(word)]
-            columns = [list(c) for c in zip(*rows)] or [[]] * 5
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "restored", "certain", "parts"])
+                rows += [(word, n, text, certain, parts, rule, oddity(word) - oddity(text)) for text, certain, parts, rule in restore(word)]
+            columns = [list(c) for c in zip(*rows)] or [[]] * 7
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "restored", "certain", "parts", "rule", "gain"])
 
     return run
 
@@ -193,24 +227,31 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled_words(words: DataFrame, mistakes: list[tuple[str, str]], alphabet: str) -> DataFrame:
     """(word, restored) of the distinct words (word, n) that a learned mistake explains; n is the number of documents.
 
-    A run that is well-formed UTF-8 and decodes to usual characters is certain. A word between single-byte encodings
-    counts only if every new part of its restored form is a known word, in LEAST_KNOWN documents and KNOWN_RATIO times
-    more than the garbled one. Of several restored forms that with the best known parts counts, then the first.
+    A run that is well-formed UTF-8 and decodes to usual characters is certain. Any other word counts only if every new
+    part of its restored form is a known word, in LEAST_KNOWN documents, and if the direction is told: the restored form
+    has fewer signs of a wrong encoding (`oddity`), or is KNOWN_RATIO times as common, or, where both forms are equally
+    sound, the mistake goes this way in most of its words, by their signs and, if these are even, by which form is the
+    commoner. So no word depends on how common the mistake is where the signs tell. Of several restored forms that with
+    the best known parts counts.
     """
-    tried = cut(words.mapInArrow(_restored(mistakes, alphabet), "word string, n bigint, restored string, certain boolean, parts array<string>"))
+    schema = "word string, n bigint, restored string, certain boolean, parts array<string>, rule int, gain int"
+    tried = cut(words.mapInArrow(_restored(mistakes, alphabet), schema))
     certain = tried.where("certain").select("word", "restored")
     known = words.mapInArrow(_letters, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("known"))
-    asked = tried.where("not certain").select("word", "n", "restored", F.explode("parts").alias("part"), F.size("parts").alias("distinct"))
-    judged = (
+    asked = tried.where("not certain").select("word", "n", "restored", "rule", "gain", F.explode("parts").alias("part"), F.size("parts").alias("distinct"))
+    judged = cut(
         asked.join(known, "part")
-        .where((F.col("known") >= LEAST_KNOWN) & (F.col("known") > KNOWN_RATIO * F.col("n")))
-        .groupBy("word", "restored", "distinct")
+        .where(F.col("known") >= LEAST_KNOWN)
+        .groupBy("word", "n", "restored", "rule", "gain", "distinct")
         .agg(F.count(F.lit(1)).alias("good"), F.min("known").alias("known"))
         .where("good = distinct")
-        .groupBy("word")
-        .agg(F.max_by("restored", F.struct("known", "restored")).alias("restored"))
     )
-    return certain.union(judged)
+    # one row per learned mistake
+    ways = judged.groupBy("rule").agg(F.sum(F.signum("gain")).alias("signs"), F.sum(F.signum(F.col("known") - F.col("n"))).alias("counts"))
+    onward = ways.select("rule", ((F.col("signs") > 0) | ((F.col("signs") == 0) & (F.col("counts") > 0))).alias("onward"))
+    told = (F.col("gain") > 0) | (F.col("known") > KNOWN_RATIO * F.col("n")) | ((F.col("gain") == 0) & F.col("onward"))
+    best = judged.join(F.broadcast(onward), "rule").where(told).groupBy("word").agg(F.max_by("restored", F.struct("known", "restored")).alias("restored"))
+    return certain.union(best)
 
 
 def _gaps(word: str) -> tuple[str, str]:

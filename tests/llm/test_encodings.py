@@ -69,3 +69,19 @@ def test_a_single_case_is_learned_from_words(spark):
     """No passage has a twin, but a word does."""
     rows = [(1, "La lumière est belle."), (2, "Cette lumiÃ¨re, enfin."), (3, "Une autre lumière encore."), (4, "Rien du tout.")]
     assert [r["doc"] for r in WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string")).found().collect()] == [2]
+
+
+def test_a_common_mistake_is_found(spark):
+    """A third of all distinct texts, and more than half, come from a source read in a wrong encoding."""
+    rng = random.Random(11)
+    for stored, read, lines, clean, wrong in [("cp1251", "cp1252", SENTENCES[5:7], 40, 20), ("cp1250", "cp1252", SENTENCES[4:5], 40, 20), ("cp1251", "cp1252", SENTENCES[5:7], 20, 40), (UTF8, "cp1251", ["Музыка звучит слишком громко.", "Фильм 17 снят давно."], 40, 20)]:
+        texts = [" ".join([*rng.sample(lines, len(lines)), f"Nr {i}."]) for i in range(clean + wrong)]
+        rows = [(i, t if i < clean else garble(t, stored, read)) for i, t in enumerate(texts)]
+        cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["doc"] for r in cases.found().collect()) == list(range(clean, clean + wrong))
+        assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {i: texts[i] for i in range(clean, clean + wrong)}
+
+
+def test_a_mistake_is_learned_from_equal_counts(spark):
+    rows = [(1, SENTENCES[5]), (2, garble(SENTENCES[5], "cp1251", "cp1252"))] + [(10 + i, f"Музыка звучит слишком громко, но сцена запоминается, {i}.") for i in range(3)]
+    assert [r["doc"] for r in WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string")).found().collect()] == [2]

@@ -21,6 +21,9 @@ WORD = re.compile(r"[A-Za-z0-9\x80-\U0010ffff]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[\x80-\U0010ffff]+")
 LOST = "�"
+CONTROL = re.compile("[\x80-\x9f]")
+#: Two characters that look like UTF-8 read in latin_1.
+SEQUENCE = re.compile("[\xc2-\xf4][\x80-\xbf]")
 #: Passage pairs that must show a mistake between two single-byte encodings, and documents a restored word must occur in.
 LEAST_PAIRS, LEAST_KNOWN = 1, 3
 #: A restored word in so many times more documents than its garbled form needs no other sign of the direction.
@@ -161,8 +164,10 @@ def _other(c: str) -> bool:
 
 
 def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
-    """A function from a word to its candidates (restored, certain, parts, rule): certain ones need no known word beside
-    them; `rule` is the place of the mistake in the list."""
+    """A function from a word to its candidates (restored, certain, parts, rule, sure): certain ones are the only one of
+    their word. Parts are what must be known: the new runs of letters, or, after "=", the whole restored word, if none
+    has three letters. Sure ones need no known part, they explain control characters. `rule` is the place of the mistake
+    in the list."""
     clean = {c for c in alphabet if c != LOST and not "\x80" <= c <= "\x9f"}
     readings = [r for s, r in mistakes if s == UTF8]
 
@@ -184,7 +189,7 @@ def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
     def parts(text: str, word: str, least: int) -> list[str]:
         return [x for x in set(LETTERS.findall(text)) - set(LETTERS.findall(word)) if len(x) >= least and not x.isascii()]
 
-    def restore(word: str) -> list[tuple[str, bool, list[str], int]]:
+    def restore(word: str) -> list[tuple[str, bool, list[str], int, bool]]:
         now = word
         for _ in range(ROUNDS):
             for read in readings:
@@ -192,14 +197,17 @@ def _restorer(mistakes: list[tuple[str, str]], alphabet: str):
                 if told != now:
                     now = undo_utf8(told, read, possible)
         if now != word:
-            return [(now, True, [], 0)]
+            return [(now, True, [], 0, True)]
         out = {}
         for rule, (stored, read) in enumerate(mistakes):
             text = undo_utf8(word, read, possible) if stored == UTF8 else undo_single(word, stored, read)
-            if text and text != word and text not in out and all(c.isascii() or c in clean for c in text):
-                if new := parts(text, word, 1 if stored == UTF8 else 3):
-                    out[text] = new, rule
-        return [(text, False, new, rule) for text, (new, rule) in out.items()]
+            if text and text != word and text not in out:
+                sure = stored != UTF8 and bool(CONTROL.search(word)) and not CONTROL.search(text) and not SEQUENCE.search(word)
+                if sure or all(c.isascii() or c in clean for c in text):
+                    new = parts(text, word, 1 if stored == UTF8 else 3)
+                    if new or stored != UTF8:
+                        out[text] = new or ["=" + text], rule, sure
+        return [(text, False, new, rule, sure) for text, (new, rule, sure) in out.items()]
 
     return restore
 
@@ -210,10 +218,10 @@ def _restored(mistakes: list[tuple[str, str]], alphabet: str):
         for batch in batches:
             rows = []
             for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows += [(word, n, text, certain, parts, rule, oddity(word) - oddity(text)) for text, certain, parts, rule in restore(word)]
-            columns = [list(c) for c in zip(*rows)] or [[]] * 7
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "restored", "certain", "parts", "rule", "gain"])
+                rows += [(word, n, text, certain, parts, rule, oddity(word) - oddity(text), sure) for text, certain, parts, rule, sure in restore(word)]
+            columns = [list(c) for c in zip(*rows)] or [[]] * 8
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.int32(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["word", "n", "restored", "certain", "parts", "rule", "gain", "sure"])
 
     return run
 
@@ -231,26 +239,33 @@ def garbled_words(words: DataFrame, mistakes: list[tuple[str, str]], alphabet: s
     part of its restored form is a known word, in LEAST_KNOWN documents, and if the direction is told: the restored form
     has fewer signs of a wrong encoding (`oddity`), or is KNOWN_RATIO times as common, or, where both forms are equally
     sound, the mistake goes this way in most of its words, by their signs and, if these are even, by which form is the
-    commoner. So no word depends on how common the mistake is where the signs tell. Of several restored forms that with
+    commoner. A form without a new run of three letters (punctuation, signs, short words) must be known as a whole, and
+    with fewer than three letters it needs the signs, as "à" and Cyrillic "а" are one byte. Control characters that a
+    mistake explains are certain. So no word depends on how common the mistake is where the signs tell. Of several restored forms that with
     the best known parts counts.
     """
-    schema = "word string, n bigint, restored string, certain boolean, parts array<string>, rule int, gain int"
+    schema = "word string, n bigint, restored string, certain boolean, parts array<string>, rule int, gain int, sure boolean"
     tried = cut(words.mapInArrow(_restored(mistakes, alphabet), schema))
     certain = tried.where("certain").select("word", "restored")
     known = words.mapInArrow(_letters, "part string, n bigint").groupBy("part").agg(F.sum("n").alias("known"))
-    asked = tried.where("not certain").select("word", "n", "restored", "rule", "gain", F.explode("parts").alias("part"), F.size("parts").alias("distinct"))
+    known = known.union(words.select(F.concat(F.lit("="), "word"), "n"))
+    asked = tried.where("not certain").select("word", "n", "restored", "rule", "gain", "sure", F.explode("parts").alias("part"), F.size("parts").alias("distinct"))
+    is_known = F.col("known") >= LEAST_KNOWN
     judged = cut(
-        asked.join(known, "part")
-        .where(F.col("known") >= LEAST_KNOWN)
-        .groupBy("word", "n", "restored", "rule", "gain", "distinct")
-        .agg(F.count(F.lit(1)).alias("good"), F.min("known").alias("known"))
-        .where("good = distinct")
+        asked.join(known, "part", "left")
+        .where(is_known | F.col("sure"))
+        .groupBy("word", "n", "restored", "rule", "gain", "distinct", "sure")
+        .agg(F.count_if(is_known).alias("good"), F.min(F.when(is_known, F.col("known"))).alias("known"), F.max(F.col("part").startswith("=")).alias("whole"))
+        .where("good = distinct or sure")
     )
     # one row per learned mistake
-    ways = judged.groupBy("rule").agg(F.sum(F.signum("gain")).alias("signs"), F.sum(F.signum(F.col("known") - F.col("n"))).alias("counts"))
+    ways = judged.where("good = distinct").groupBy("rule").agg(F.sum(F.signum("gain")).alias("signs"), F.sum(F.signum(F.col("known") - F.col("n"))).alias("counts"))
     onward = ways.select("rule", ((F.col("signs") > 0) | ((F.col("signs") == 0) & (F.col("counts") > 0))).alias("onward"))
-    told = (F.col("gain") > 0) | (F.col("known") > KNOWN_RATIO * F.col("n")) | ((F.col("gain") == 0) & F.col("onward"))
-    best = judged.join(F.broadcast(onward), "rule").where(told).groupBy("word").agg(F.max_by("restored", F.struct("known", "restored")).alias("restored"))
+    short = F.col("whole") & ~F.col("restored").rlike(r"\p{L}.*\p{L}.*\p{L}")
+    even = (F.col("known") > KNOWN_RATIO * F.col("n")) | ((F.col("gain") == 0) & F.col("onward"))
+    told = F.col("sure") | (F.col("gain") > 0) | (~short & even)
+    rank = F.struct(F.col("good") == F.col("distinct"), F.coalesce("known", F.lit(0)), F.when(F.col("good") < F.col("distinct"), -F.col("rule")), "restored")
+    best = judged.join(F.broadcast(onward), "rule", "left").where(told).groupBy("word").agg(F.max_by("restored", rank).alias("restored"))
     return certain.union(best)
 
 

@@ -85,3 +85,14 @@ def test_a_common_mistake_is_found(spark):
 def test_a_mistake_is_learned_from_equal_counts(spark):
     rows = [(1, SENTENCES[5]), (2, garble(SENTENCES[5], "cp1251", "cp1252"))] + [(10 + i, f"Музыка звучит слишком громко, но сцена запоминается, {i}.") for i in range(3)]
     assert [r["doc"] for r in WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string")).found().collect()] == [2]
+
+
+def test_punctuation_alone_is_found(spark):
+    """English texts whose only characters beyond ASCII are quotes, dashes, an ellipsis and signs."""
+    for read in ("latin_1", "mac_roman"):
+        texts = [f"I don’t know the answer. She said “wait” – and left… It’s {i}, for 5 €, at the café." for i in range(12)]
+        rows = [(i, t if i < 10 else garble(t, "cp1252", read)) for i, t in enumerate(texts)]
+        rows += [(20, "È à l’école, où est le père ? C’était l’été, là."), (21, "El país, aquí, está allí; el señor y la señora."), (22, garble("You don’t.", "cp1252", read))]
+        cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert {r["doc"] for r in cases.found().collect()} == {10, 11, 22}
+        assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {10: texts[10], 11: texts[11], 22: "You don’t."}

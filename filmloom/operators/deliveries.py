@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 #: Cost of one inserted or deleted quote in units of a delimiter edit: quotes are only touched where parity demands it.
 QUOTE_COST = 1 << 32
-#: Structural bytes of a line up to which the places of the edits are kept; beyond, their numbers only.
+#: Structural bytes of a line up to which `parse_lines` by itself keeps the places of the edits; deliveries have no bound.
 TRACED_TOKENS = 4096
+#: Tokens between stored costs, from which the steps of a wide line are found again, last segment first.
+SEGMENT = 1024
 #: States held at once by the dynamic programme.
 DP_CELLS = 8 << 20
 _FAR = np.int64(1) << 60
@@ -33,12 +35,12 @@ def least_cost_edits(kinds: np.ndarray, lengths: np.ndarray, fields: int, traced
     cost = np.full((n, states), _FAR)
     cost[:, 0] = 0
     identity = np.broadcast_to(np.arange(states, dtype=np.int16), (n, states))
-    back: list[tuple[str, int, np.ndarray]] = []
 
-    def gap(cost: np.ndarray, k: int, alive: np.ndarray) -> np.ndarray:
+    def gap(cost: np.ndarray, k: int, back: list | None) -> np.ndarray:
+        alive = lengths >= k
         swapped = np.concatenate([cost[:, fields:], cost[:, :fields]], axis=1) + QUOTE_COST
         better = (swapped < cost) & alive[:, None]
-        if traced:
+        if back is not None:
             back.append(("quote", k, np.where(better, (identity + fields) % states, identity)))
         cost = np.where(better, swapped, cost)
         source = identity.copy()
@@ -46,20 +48,11 @@ def least_cost_edits(kinds: np.ndarray, lengths: np.ndarray, fields: int, traced
             better = (cost[:, f - 1] + 1 < cost[:, f]) & alive
             cost[:, f] = np.where(better, cost[:, f - 1] + 1, cost[:, f])
             source[:, f] = np.where(better, source[:, f - 1], f)
-        if traced:
+        if back is not None:
             back.append(("delimiter", k, source))
         return cost
 
-    final = np.full(n, _FAR)
-    ended: list[tuple[int, np.ndarray]] = []
-    for k in range(width + 1):
-        alive = lengths >= k
-        cost = gap(cost, k, alive)
-        done = lengths == k
-        final[done] = cost[done, fields - 1]
-        ended.append((k, np.flatnonzero(done)))
-        if k == width:
-            break
+    def token(cost: np.ndarray, k: int, back: list | None) -> np.ndarray:
         alive = lengths > k
         quote = kinds[:, k] == 1
         # a quote: kept it toggles the half, deleted it leaves the state
@@ -75,12 +68,30 @@ def least_cost_edits(kinds: np.ndarray, lengths: np.ndarray, fields: int, traced
         as_tab[:, :fields] = np.where(better, opens, as_tab[:, :fields])
         from_tab[:, :fields] = np.where(better, identity[:, :fields] - 1, identity[:, :fields])
         new, source = np.where(quote[:, None], as_quote, as_tab), np.where(quote[:, None], from_quote, from_tab)
-        cost = np.where(alive[:, None], new, cost)
-        if traced:
+        if back is not None:
             back.append(("token", k, np.where(alive[:, None], source, identity).astype(np.int16)))
+        return np.where(alive[:, None], new, cost)
+
+    final = np.full(n, _FAR)
+    saved: list[np.ndarray] = []
+    first: list | None = [] if traced and width < SEGMENT else None
+    for k in range(width + 1):
+        if traced and k % SEGMENT == 0:
+            saved.append(cost)
+        cost = gap(cost, k, first)
+        done = lengths == k
+        final[done] = cost[done, fields - 1]
+        if k < width:
+            cost = token(cost, k, first)
     edits = []
-    if traced:
-        state = np.full(n, fields - 1)
+    state = np.full(n, fields - 1)
+    while saved:
+        cost, back = saved.pop(), first or []
+        at = len(saved) * SEGMENT
+        for k in range(at, min(at + SEGMENT, width + 1)) if first is None else ():
+            cost = gap(cost, k, back)
+            if k < width:
+                cost = token(cost, k, back)
         for what, k, source in reversed(back):
             active = lengths >= k if what != "token" else lengths > k
             prior = source[rows, state]
@@ -101,12 +112,13 @@ def least_cost_edits(kinds: np.ndarray, lengths: np.ndarray, fields: int, traced
 _NAMES = np.array(['+"', "+delimiter", '-"', "-delimiter"], dtype=object)
 
 
-def parse_lines(lines: pa.StringArray, fields: int, delimiter: str = "\t") -> pa.StructArray:
+def parse_lines(lines: pa.StringArray, fields: int, delimiter: str = "\t", traced_tokens: int | None = TRACED_TOKENS) -> pa.StructArray:
     """{fields, quote_edits, delimiter_edits, edits} of each line; `fields` is null unless the parse costs nothing.
 
     Quote and delimiter bytes are found over the whole text buffer; running counts give each delimiter's quote parity,
     so lines of cost zero are cut without looking at single rows. The others go through `least_cost_edits`. A null line
-    counts as an empty one.
+    counts as an empty one. Of lines of more than `traced_tokens` quotes and delimiters (None: no bound) only the numbers
+    of edits are given, whatever other lines there are.
     """
     n = len(lines)
     lines = pc.fill_null(lines, "")
@@ -142,12 +154,14 @@ def parse_lines(lines: pa.StringArray, fields: int, delimiter: str = "\t") -> pa
     while len(bad):
         widths = np.maximum(count[bad], 1)
         step = max(1, int(np.searchsorted(np.arange(1, len(bad) + 1) * widths * 2 * fields, DP_CELLS)))
+        if traced_tokens is not None:  # no line within the bound shares a block with one beyond
+            step = min(step, int(np.searchsorted(count[bad], traced_tokens, side="right")) or step)
         now, bad = bad[:step], bad[step:]
         width = int(count[now].max())
         kinds = np.zeros((len(now), width), np.int8)
         inner = np.arange(width)[None, :] < count[now][:, None]
         kinds[inner] = is_quote[tokens[np.concatenate([np.arange(first[r], first[r + 1]) for r in now])]] if inner.any() else 0
-        cost, edits = least_cost_edits(kinds, count[now], fields, width <= TRACED_TOKENS)
+        cost, edits = least_cost_edits(kinds, count[now], fields, traced_tokens is None or width <= traced_tokens)
         quote_edits[now], delimiter_edits[now] = cost // QUOTE_COST, cost % QUOTE_COST
         if edits:
             r, k, code = (np.concatenate(x) for x in zip(*edits))
@@ -186,7 +200,7 @@ def parse_deliveries(df: DataFrame, row_id: str, line: str, fields: int, checks:
             step = max(1, batch.num_rows * (16 << 20) // max(16 << 20, batch.nbytes))
             for at in range(0, batch.num_rows, step):
                 piece = batch.slice(at, step)
-                parsed = parse_lines(piece.column(1).cast(pa.string()), fields, delimiter)
+                parsed = parse_lines(piece.column(1).cast(pa.string()), fields, delimiter, None)
                 yield pa.RecordBatch.from_arrays([piece.column(0), *parsed.flatten()], ["row_id", "fields", "quote_edits", "delimiter_edits", "edits"])
 
     parsed = df.select(F.col(row_id).alias("row_id"), F.col(line).alias("line")).mapInArrow(

@@ -69,3 +69,24 @@ def test_reasons(spark):
     title = out.where("row_id = 1").select(plain_text(out.fields[2]).alias("t"), plain_text(out.fields[4]).alias("n")).first()
     assert tuple(title) == ("A\tB", None)
     assert parse_deliveries(df.limit(0), "raw_id", "line", 6, []).count() == 0
+
+
+def test_edits_do_not_depend_on_other_lines(spark):
+    """Short lines keep their edits beside a wide one, and a wide line has its own."""
+    wide = '"' + "x\t" * 5_000 + '"' + "\ta" * 7
+    lines = ["a\tb"] * 100 + [wide]
+    alone = parse_lines(pa.array(["a\tb"]), 6).to_pylist()[0]["edits"]
+    assert [x["edits"] for x in parse_lines(pa.array(lines), 6).to_pylist()] == [alone] * 100 + ["0 quote and 2 delimiter edits"]
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "raw_id long, line string")
+    got = {r.row_id: (r.reason, r.edits) for r in parse_deliveries(df, "raw_id", "line", 6, []).collect()}
+    assert all(got[i] == ("columns", alone) for i in range(100))
+    places = {f"-delimiter@{10_002 + 2 * i}" for i in range(7)}
+    assert got[100][0] == "columns" and len(got[100][1].split()) == 2 and set(got[100][1].split()) <= places
+
+
+def test_segments_give_the_same_edits(monkeypatch):
+    rng = random.Random(6)
+    lines = pa.array(["".join(rng.choice('ab"\t\t') for _ in range(rng.randrange(60))) for _ in range(300)])
+    whole = parse_lines(lines, 4).to_pylist()
+    monkeypatch.setattr("filmloom.operators.deliveries.SEGMENT", 3)
+    assert parse_lines(lines, 4).to_pylist() == whole

@@ -1,9 +1,10 @@
-"""Single-byte encodings and what a text becomes when one is mistaken for another."""
+"""Encodings and what a text becomes when one is mistaken for another."""
 
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 # The single-byte encodings that a text may have been read in, most usual first; UTF8 names the source.
 SINGLE_BYTE = (
@@ -11,11 +12,11 @@ SINGLE_BYTE = (
     "iso8859_2", "iso8859_5", "iso8859_7", "iso8859_9", "iso8859_15", "mac_cyrillic", "mac_latin2", "mac_turkish", "cp855", "cp857",
 )
 UTF8 = "utf_8"
+# The encodings of up to two bytes a character that a text may have been stored in.
+DOUBLE_BYTE = ("cp932", "gbk", "big5", "euc_jp", "euc_kr")
 #: Well-formed UTF-8 sequences of several bytes, one character per byte.
 _SEQUENCES = re.compile("(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
 _RUN = re.compile("[\x80-\U0010ffff]+")
-#: Rounds in which a text that was garbled more than once is undone.
-ROUNDS = 3
 
 
 @lru_cache(None)
@@ -52,6 +53,11 @@ def garble(text: str, source: str, read_as: str) -> str | None:
     """`text`, stored in `source`, as read in `read_as`; None if `source` can't store it."""
     if source == UTF8:
         data = text.encode("utf-8", "surrogatepass")
+    elif source in DOUBLE_BYTE:
+        try:
+            data = text.encode(source)
+        except UnicodeEncodeError:
+            return None
     else:
         table = writes(source)
         try:
@@ -62,13 +68,52 @@ def garble(text: str, source: str, read_as: str) -> str | None:
     return "".join(chr(b) if b < 128 else table[b - 128] for b in data)
 
 
-def undo_single(text: str, source: str, read_as: str) -> str | None:
-    """The inverse of `garble` for two single-byte encodings; None if `read_as` lacks a character of the text."""
-    back, table = writes(read_as), reads(source)
+@lru_cache(1 << 16)
+def image(char: str, source: str, read_as: str) -> str | None:
+    """`garble` of one character."""
+    return garble(char, source, read_as)
+
+
+def undo_double(text: str, source: str, read_as: str) -> str | None:
+    """The inverse of `garble` for a source in DOUBLE_BYTE; None if it can't have made the text.
+
+    A last character whose second byte is missing, as where a word ends before a sign, stays as it is.
+    """
+    back = writes(read_as)
     try:
-        return "".join(c if c < "\x80" else table[back[c] - 128] for c in text)
+        data = bytes(ord(c) if c < "\x80" else back[c] for c in text)
+        return data.decode(source)
     except KeyError:
         return None
+    except UnicodeDecodeError as e:
+        return data[:-1].decode(source) + text[-1] if 0 < e.start == len(data) - 1 else None
+
+
+class _Moved(dict):
+    """Characters beyond ASCII by code; those that are not in the table become a zero."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = value = code if code < 128 else 0
+        return value
+
+
+@lru_cache(None)
+def _moved(source: str, read_as: str) -> _Moved:
+    table = reads(source)
+    return _Moved({ord(c): ord(table[b - 128]) for c, b in writes(read_as).items()})
+
+
+def undo_single(text: str, source: str, read_as: str) -> str | None:
+    """The inverse of `garble` for two single-byte encodings; None if `read_as` lacks a character of the text."""
+    moved = text.translate(_moved(source, read_as))
+    return None if "\0" in moved and "\0" not in text else moved
+
+
+@lru_cache(None)
+def _starts(codec: str) -> re.Pattern:
+    """The first two characters of a UTF-8 sequence read in `codec`."""
+    chars = reads(codec)
+    return re.compile(f"[{re.escape(''.join(chars[0x42:0x75]))}][{re.escape(''.join(chars[:0x40]))}]")
 
 
 def undo_utf8(text: str, read_as: str, plausible) -> str:
@@ -76,6 +121,8 @@ def undo_utf8(text: str, read_as: str, plausible) -> str:
 
     A run stays as it is unless plausible(before, run, decoded, after) holds.
     """
+    if not _starts(read_as).search(text):
+        return text
     data = text.translate(_table(read_as))
     out, last = [], 0
     for run in _RUN.finditer(data):
@@ -86,3 +133,29 @@ def undo_utf8(text: str, read_as: str, plausible) -> str:
                 out += [text[last:start], decoded]
                 last = end
     return "".join([*out, text[last:]])
+
+
+@dataclass(frozen=True)
+class Mistake:
+    """A transformation of characters: one that twins have shown, by (garbled, clean) pieces, or that of a pair of encodings."""
+
+    stored: str = ""
+    read: str = ""
+    pieces: tuple[tuple[str, str], ...] = ()
+
+    @cached_property
+    def _clean(self) -> dict[str, str]:
+        return dict(self.pieces)
+
+    @cached_property
+    def _pattern(self) -> re.Pattern:
+        return re.compile("|".join(re.escape(g) for g, _ in sorted(self.pieces, key=lambda x: (-len(x[0]), x))) + "|[\x80-\U0010ffff]")
+
+    def undo(self, text: str) -> str | None:
+        """What `text` was before, as a whole; None if the mistake can't have made it. Not for UTF8, see `undo_utf8`."""
+        if self.pieces:
+            try:
+                return self._pattern.sub(lambda m: self._clean[m.group()], text)
+            except KeyError:
+                return None
+        return (undo_double if self.stored in DOUBLE_BYTE else undo_single)(text, self.stored, self.read)

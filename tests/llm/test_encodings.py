@@ -1,7 +1,7 @@
 import random
 
 from filmloom.llm.codecs import SINGLE_BYTE, UTF8, garble, undo_single
-from filmloom.llm.encodings import WrongEncodings, explain
+from filmloom.llm.encodings import WrongEncodings, explain, pieces
 
 SENTENCES = [
     "Le scénario hésite près de la forêt gelée.",
@@ -96,3 +96,41 @@ def test_punctuation_alone_is_found(spark):
         cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
         assert {r["doc"] for r in cases.found().collect()} == {10, 11, 22}
         assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {10: texts[10], 11: texts[11], 22: "You don’t."}
+
+
+def test_two_bytes_a_character(spark):
+    """Japanese and Korean passages with clean twins, read as Latin; second bytes may be ASCII signs."""
+    for stored, read, lines in [("cp932", "latin_1", ["ソフトの表示は 12 件です", "日本語テキストとデータ 7 点"]), ("cp932", "cp1252", ["映画の終わりに 20 分の音楽"]), ("euc_kr", "cp1252", ["한국 영화 3 편을 보았다"])]:
+        wrong = [garble(x, stored, read) for x in lines]
+        rows = [(i, f"{x}\nNr {i}.") for i in range(5) for x in lines] + [(10 + i, f"{x}\nNr x.") for i, x in enumerate(wrong)]
+        cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(r["doc"] for r in cases.found().collect()) == [10 + i for i in range(len(lines))]
+        assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {10 + i: f"{x}\nNr x." for i, x in enumerate(lines)}
+
+
+def test_a_mapping_without_a_name_is_learned(spark):
+    """Hebrew stored in cp1255 and French in UTF-8 read as GBK: no pair of known encodings explains the twins."""
+    hebrew = ["שלום לכל הצופים 12", "לכל הצופים שלום 7"]
+    french = ["Le scénario hésite au théâtre 5", "Au théâtre un scénario hésite 8"]
+    misread = {x: x.encode("cp1255").decode("latin_1") for x in hebrew} | {x: x.encode().decode("gbk") for x in french}
+    assert pieces(misread[french[0]], french[0]) == [("芒", "â"), ("茅", "é")]
+    rows = [(10 * k + i, f"{x}. Nr {i}.") for k, x in enumerate(misread) for i in range(4)]
+    wrong = {100 + k: (f"{g}. Nr x.", f"{x}. Nr x.") for k, (x, g) in enumerate(misread.items())}
+    wrong[200] = ("Un th茅芒tre et l'autre.", "Un théâtre et l'autre.")
+    cases = WrongEncodings(spark.createDataFrame(rows + [(i, g) for i, (g, _) in wrong.items()], "doc_id long, text string"))
+    assert {r["doc"] for r in cases.found().collect()} == set(wrong)
+    assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {i: x for i, (_, x) in wrong.items()}
+
+
+def test_natural_variants_teach_nothing():
+    assert pieces("la pêche", "la péche") == [] and pieces("“oui”", "«oui»") == []
+    assert pieces("a茅b茅", "aébè") == []  # one image for two characters
+
+
+def test_garbled_seven_times(spark):
+    text = SENTENCES[0]
+    for _ in range(7):
+        text = garble(text, UTF8, "cp1252")
+    rows = [(1, SENTENCES[0]), (2, SENTENCES[0] + " Oui."), (3, garble(SENTENCES[0], UTF8, "cp1252")), (4, text)]
+    cases = WrongEncodings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc"]: r["restored"] for r in cases.restored().collect()} == {3: SENTENCES[0], 4: SENTENCES[0]}

@@ -97,7 +97,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while levels:
         lower = levels.pop()
         upper = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        labels = join_counted(lower, upper, ["root"], "left", 80).select("node", F.coalesce("top", "root").alias("root"))
+        labels = join_counted(lower, upper, ["root"], "left").select("node", F.coalesce("top", "root").alias("root"))
         if levels:
             labels = cut(labels)
     return labels

@@ -435,5 +435,5 @@ class WrongEncodings:
                 texts = [apply_fixes(t, {f["word"]: f["restored"] for f in fixes}, mistakes) for t, fixes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([LOST not in t for t in texts])], ["doc", "restored", "complete"])
 
-        broken = join_counted(self.docs, cases, ["doc"], "inner", 2000).dropDuplicates(["doc", "text"])
+        broken = join_counted(self.docs, cases, ["doc"], "inner").dropDuplicates(["doc", "text"])
         return broken.select("doc", "text", "fixes").mapInArrow(apply, f"doc {kind}, restored string, complete boolean")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.llm.splits import MAX_SPLITS, assign_splits, groups_of
-from filmloom.llm.together import pairs_together
+from filmloom.llm.together import CHUNK_ITEMS, pairs_together
 from filmloom.sources.tables import table
 
 
@@ -43,9 +43,9 @@ def p3_split_report(spark: SparkSession, folder: str) -> DataFrame:
 LEAST_TOGETHER, LEAST_LIFT = 8, 10.0
 
 
-def _pairs(spark: SparkSession, folder: str) -> DataFrame:
+def _pairs(spark: SparkSession, folder: str, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     credits = table(spark, folder, "title_principals").select(clean_key("tconst").alias("basket"), clean_key("nconst").alias("item"))
-    return pairs_together(credits, LEAST_TOGETHER, LEAST_LIFT)
+    return pairs_together(credits, LEAST_TOGETHER, LEAST_LIFT, chunk_items)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -58,6 +58,15 @@ def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _pairs(spark, folder).select(F.col("a").alias("nconst_a"), F.col("b").alias("nconst_b"), "n_ab", "n_a", "n_b", F.round(lift, 4).alias("lift"), F.round(F.log2(lift), 4).alias("pmi"))
 
 
+#: Items of a chunk that cuts the larger titles of these tables into several.
+SMALL_CHUNK = 32
+
+
+def p4_chunked(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of `p4_found` with their counts, counted with small chunks: titles of a few dozen people are cut already."""
+    return _pairs(spark, folder, SMALL_CHUNK).select(F.col("a").alias("nconst_a"), F.col("b").alias("nconst_b"), "n_ab", "n_a", "n_b")
+
+
 P3_FOUND_SQL = f"""
 WITH RECURSIVE e AS (
   SELECT DISTINCT {clean_key_sql("tconst")} AS t, {clean_key_sql("nconst")} AS d FROM title_principals
@@ -72,13 +81,12 @@ WITH h AS (
   SELECT DISTINCT {clean_key_sql("tconst")} AS t, {clean_key_sql("nconst")} AS p FROM title_principals
   WHERE {clean_key_sql("tconst")} IS NOT NULL AND {clean_key_sql("nconst")} IS NOT NULL),
 c AS (SELECT p, count(*) AS n FROM h GROUP BY p), total AS (SELECT count(DISTINCT t) AS n FROM h),
-s AS (SELECT h.* FROM h JOIN c USING (p) WHERE c.n >= {LEAST_TOGETHER} AND c.n * {LEAST_LIFT:.0f} <= (SELECT n FROM total)),
-pairs AS (SELECT a.p AS a, b.p AS b, count(*) AS n_ab FROM s a JOIN s b ON a.t = b.t AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {LEAST_TOGETHER}),
+pairs AS (SELECT a.p AS a, b.p AS b, count(*) AS n_ab FROM h a JOIN h b ON a.t = b.t AND a.p < b.p GROUP BY 1, 2 HAVING count(*) >= {LEAST_TOGETHER}),
 scored AS (SELECT a, b, n_ab, x.n AS n_a, y.n AS n_b, total.n AS n FROM pairs JOIN c x ON x.p = a JOIN c y ON y.p = b, total
   WHERE n_ab * total.n >= {LEAST_LIFT:.0f} * x.n * y.n)
 """
 P4_FOUND_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b FROM scored"
 P4_PAIRS_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 4) AS lift, round(log2(n_ab * n / (n_a::DOUBLE * n_b)), 4) AS pmi FROM scored"
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p4_found": p4_found, "p4_pairs": p4_pairs}
-ORACLES = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_chunked": p4_chunked}
+ORACLES = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_chunked": _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b FROM scored"}

@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.scratch import cut, join_counted
+from filmloom.scratch import cut, drop_cut, join_counted
 
 #: Items of a basket from which it is split into chunks.
 ORDINARY = 64
-#: Items of one basket in one chunk, about, and rows of one chunk pair over all its baskets.
+#: Items of one basket in one chunk, at most about, and rows of one chunk pair over all its baskets.
 CHUNK_ITEMS, TASK_ROWS = 1024, 32_768
 #: Pair codes merged at once.
 MERGE_PAIRS = 4_000_000
@@ -51,7 +51,7 @@ def _products(total: int, least: int, lift: float):
     schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("na", pa.int64()), ("nb", pa.int64()), ("n", pa.int64())])
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        left, right = key[1].as_py(), key[2].as_py()
+        left, right = key[2].as_py(), key[3].as_py()
         names = table.column("item").combine_chunks().dictionary_encode()
         order = np.argsort(names.dictionary.to_numpy(zero_copy_only=False), kind="stable")
         code_of = np.empty(len(order), np.int64)
@@ -72,16 +72,36 @@ def _products(total: int, least: int, lift: float):
     return run
 
 
-def pairs_together(baskets: DataFrame, least: int, lift: float) -> DataFrame:
+def spread_chunks(rows: DataFrame, huge: DataFrame, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
+    """The rows (basket, item, holders) of huge baskets (basket, size), once for each chunk pair that they take part in.
+
+    A basket has as many chunks, a power of two, as its own size asks for: a row is copied once per chunk of its basket,
+    whatever the sizes of others. Result: chunks, part, left, right, basket, item, holders, chunk; baskets with the same
+    number of chunks share their chunk pairs, in parts of about TASK_ROWS rows.
+    """
+    chunks = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("size") / chunk_items)))).cast("int")
+    sized = cut(huge.select("basket", "size", chunks.alias("chunks")))
+    levels = sized.groupBy("chunks").agg(F.sum("size").alias("rows")).collect()  # one row per power of two
+    parts = F.element_at(F.create_map(*(F.lit(x) for r in levels for x in (r["chunks"], max(1, -(-2 * r["rows"] // ((r["chunks"] + 1) * TASK_ROWS)))))), F.col("chunks"))
+    return (
+        join_counted(rows, sized, ["basket"], "inner")
+        .withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("basket"), parts).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .select("chunks", "part", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "basket", "item", "holders", "chunk")
+    )
+
+
+def pairs_together(baskets: DataFrame, least: int, lift: float, chunk_items: int = CHUNK_ITEMS) -> DataFrame:
     """Pairs (a, b, n_ab, n_a, n_b, n) of items of (basket, item), a < b, in at least `least` baskets and with n_ab * n
     of at least lift * n_a * n_b; n counts the baskets with an item, n_a and n_b those of each item.
 
     Repeated rows count once. Items in fewer than `least` baskets, or in more than n / lift, can be in no such pair and
     leave first; both bounds are exact. Ordinary baskets give their pairs in place. A basket of more than ORDINARY
-    items is split by item hash into chunks, and each pair of chunks is a task of its own that counts over its baskets;
-    it passes on a pair only if the pair could still reach both bounds were the two items together in every basket
-    elsewhere. One aggregation adds both kinds up. No task holds a whole huge basket, and its size is bounded by
-    TASK_ROWS.
+    items is split by item hash into chunks of about `chunk_items`, and each pair of chunks is a task of its own that
+    counts over its baskets (`spread_chunks`); it passes on a pair only if the pair could still reach both bounds were
+    the two items together in every basket elsewhere. One aggregation adds both kinds up. No task holds a whole huge
+    basket, and its size is bounded by TASK_ROWS.
 
     Rows with a null basket or item are ignored. `least` is at least 1; a `lift` of 0 asks for nothing.
     """
@@ -91,7 +111,9 @@ def pairs_together(baskets: DataFrame, least: int, lift: float) -> DataFrame:
     enough = held.groupBy("item").agg(F.count(F.lit(1)).alias("holders")).where(F.col("holders") >= least)
     if lift > 0:
         enough = enough.where(F.col("holders") * F.lit(float(lift)) <= F.lit(float(total)))
-    rows = cut(join_counted(held, cut(enough), ["item"], "inner"))
+    enough = cut(enough)
+    rows = cut(join_counted(held, enough, ["item"], "inner"))
+    drop_cut(held, enough)
     huge = cut(rows.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > ORDINARY))
 
     ordered = F.array_sort(F.collect_list(F.struct("item", "holders")))
@@ -102,19 +124,9 @@ def pairs_together(baskets: DataFrame, least: int, lift: float) -> DataFrame:
         .groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.holders").alias("na"), F.col("b.holders").alias("nb"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    largest, huge_rows = huge.agg(F.max("size"), F.sum("size")).first()
-    if largest:
-        chunks = -(-largest // CHUNK_ITEMS)
-        parts = max(1, -(-2 * huge_rows // (chunks * TASK_ROWS)))
-        own = F.pmod(F.xxhash64("item"), F.lit(chunks)).cast("int")
-        spread = (
-            join_counted(rows, huge, ["basket"], "left_semi")
-            .withColumn("chunk", own)
-            .withColumn("part", F.pmod(F.xxhash64("basket"), F.lit(parts)).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(int(chunks) - 1))))
-            .select("part", F.least("chunk", "other").alias("left"), F.greatest("chunk", "other").alias("right"), "basket", "item", "holders", "chunk")
-        )
-        huge_pairs = spread.groupBy("part", "left", "right").applyInArrow(_products(total, least, lift), "a string, b string, na bigint, nb bigint, n bigint")
+    if not huge.isEmpty():
+        spread = spread_chunks(rows, huge, chunk_items)
+        huge_pairs = spread.groupBy("chunks", "part", "left", "right").applyInArrow(_products(total, least, lift), "a string, b string, na bigint, nb bigint, n bigint")
         pairs = pairs.unionByName(huge_pairs)
     summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n_ab"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
     asked = (F.col("n_ab") >= least) & (F.col("n_ab").cast("decimal(38,0)") * total >= F.lit(lift).cast("decimal(18,6)") * F.col("n_a") * F.col("n_b"))

@@ -45,3 +45,24 @@ def test_against_counting(spark, monkeypatch, least, lift):
     assert got.columns == ["a", "b", "n_ab", "n_a", "n_b", "n"]
     assert {tuple(r) for r in got.collect()} == plain(rows, least, lift)
     assert pairs_together(df.limit(0), least, lift).count() == 0
+
+
+def test_rows_are_copied_by_their_own_basket(spark):
+    """One basket of 5,000 items beside thousands of 65 to 100."""
+    sizes = {"huge": 5000} | {f"b{i}": 65 + i % 36 for i in range(2000)}
+    huge = spark.createDataFrame(list(sizes.items()), "basket string, size long")
+    rows = huge.selectExpr("basket", "explode(sequence(1, size)) as i").selectExpr("basket", "'i' || i as item", "1L as holders")
+    spread = together.spread_chunks(rows, huge)
+    copies = {r["basket"]: (r["count"], r["chunks"]) for r in spread.groupBy("basket", "chunks").count().collect()}
+    assert copies.pop("huge") == (5000 * 8, 8)
+    assert all(copies[b] == (n, 1) for b, n in sizes.items() if b != "huge")
+    tasks = [r["count"] for r in spread.groupBy("chunks", "part", "left", "right").count().collect()]
+    assert max(tasks) < 2 * together.TASK_ROWS and len(tasks) >= 8 * 9 // 2 + 5
+
+
+def test_huge_basket_among_others(spark, monkeypatch):
+    monkeypatch.setattr(together, "ORDINARY", 8)
+    rng = random.Random(12)
+    rows = [("huge", f"i{k}") for k in range(300)] + [(f"b{b}", f"i{k}") for b in range(80) for k in rng.sample(range(300), 9 + b % 30)]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    assert {tuple(r) for r in pairs_together(df, 3, 1.2, chunk_items=16).collect()} == plain(rows, 3, 1.2)

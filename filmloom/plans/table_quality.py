@@ -179,7 +179,7 @@ def _credit_keys(spark: SparkSession, folder: str) -> tuple[DataFrame, LoadPlan]
     )
     side = lambda i: F.struct(F.lit(i).alias("kind"), F.col(KEY_COLUMNS[i]).alias("key"), F.col(KEY_COLUMNS[1 - i]).alias("partner"))
     keyed = credits.select(F.explode(F.array(side(0), side(1))).alias("k"), "category").select("k.*", "category")
-    return keyed, plan_loads(keyed.select("kind", "key"), table(spark, folder, "title_principals").count())
+    return keyed, plan_loads(keyed.select("kind", "key", "partner"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,7 +199,7 @@ def p5_key_counts(spark: SparkSession, folder: str) -> DataFrame:
 def p5_named_credits(spark: SparkSession, folder: str) -> DataFrame:
     """Credits per person and title with the person's name: the alphabetically first where spellings differ."""
     rows = table(spark, folder, "title_principals").select(F.lit(0).alias("kind"), clean_key("nconst").alias("key"), clean_key("tconst").alias("tconst"), "ordering")
-    plan = plan_loads(rows.select("kind", "key"), rows.count())
+    plan = plan_loads(rows.select("kind", "key"))
     names = table(spark, folder, "name_basics").groupBy(clean_key("nconst").alias("key")).agg(F.min("primaryName").alias("primaryName")).select(F.lit(0).alias("kind"), "*")
     joined = fragment_replicate_join(rows, names, plan, F.xxhash64("tconst", "ordering"))
     return joined.select("tconst", "ordering", F.col("key").alias("nconst"), "primaryName")

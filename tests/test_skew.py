@@ -65,3 +65,35 @@ def test_empty(keyed):
     none = keyed.limit(0)
     plan = plan_loads(none.select("kind", "key"), 0, 4)
     assert plan.heavy == {} and per_key_counts(none, plan).count() == 0
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """5 % of the rows have no key, a third one key; 64 tasks."""
+    from filmloom.operators.skew import assign
+
+    rows = spark.range(60_000).selectExpr("0 as kind", "case when id % 20 = 0 then null when id % 3 = 0 then 'hot' else 'k' || id % 7000 end as key", "id as x").repartition(8)
+    plan = plan_loads(rows.select("kind", "key"), tasks=64)
+    assert plan.rows == 60_000
+    loads = [r["count"] for r in assign(rows, plan, F.xxhash64("x")).groupBy("task").count().collect()]
+    assert len(loads) == 64 and max(loads) < 2 * sum(loads) / 64
+    lookup = spark.createDataFrame([(0, "hot", "H"), (0, None, "N")], "kind int, key string, name string")
+    joined = fragment_replicate_join(rows, lookup, plan, F.xxhash64("x"))
+    assert joined.count() == 60_000 and joined.where("name = 'H'").count() == rows.where("key = 'hot'").count()
+    assert joined.where("key is null and name is not null").count() == 0
+
+
+def test_a_hot_pair_is_spread(spark):
+    """A third of all rows are one key with one partner, in several categories."""
+    from filmloom.operators.skew import assign
+
+    rows = spark.range(30_000).selectExpr("0 as kind", "case when id % 3 = 0 then 'hot' else 'k' || id % 5000 end as key", "case when id % 3 = 0 and id % 30 > 0 then 'p' else 'q' || id % 900 end as partner", "'c' || id % 4 as category").repartition(16)
+    plan = plan_loads(rows.select("kind", "key", "partner"), tasks=8)
+    assert len(plan.hot_pairs) == 1
+    counts = per_key_counts(rows, plan)
+    got = {r["key"]: (r["n_rows"], r["n_partners"], r["n_categories"]) for r in counts.collect()}
+    want = {r["key"]: tuple(r)[1:] for r in rows.groupBy("key").agg(F.count("*"), F.count_distinct("partner"), F.count_distinct("category")).collect()}
+    assert got == want
+    marked = rows.withColumn("origin", F.spark_partition_id())
+    hot = F.xxhash64("kind", "key", "partner").isin(plan.hot_pairs)
+    loads = [r["count"] for r in assign(marked, plan, F.when(hot, F.xxhash64("origin")).otherwise(F.xxhash64("partner"))).groupBy("task").count().collect()]
+    assert max(loads) < 2 * sum(loads) / 8

@@ -21,48 +21,78 @@ def existence_deltas(target: DataFrame) -> DataFrame:
     ).select("key", "x.t", "x.delta").where("t is not null")
 
 
+def uncovered_spans(moves: DataFrame, days: DataFrame) -> DataFrame:
+    """Stretches of a day in which its key does not exist: (key, day, from, to), `to` excluded and null at the day's end.
+
+    moves: existence changes (key, day, t, net), one row per time; days: (key, day, carried) with what exists at its start.
+    Only changes are ordered, never references.
+    """
+    order = Window.partitionBy("key", "day").orderBy("t")
+    ran = moves.join(days, ["key", "day"]).select(
+        "key",
+        "day",
+        F.col("t").alias("from"),
+        F.lead("t").over(order).alias("to"),
+        (F.col("carried") + F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).alias("existing"),
+        F.when(F.row_number().over(order) == 1, F.col("carried")).alias("before"),
+    )
+    start = F.when(F.col("before") == 0, F.struct(F.col("day").cast("timestamp_ntz").alias("from"), F.col("from").alias("to")))
+    after = F.when(F.col("existing") == 0, F.struct("from", "to"))
+    return ran.select("key", "day", F.explode(F.array_compact(F.array(start, after))).alias("s")).select("key", "day", "s.from", "s.to")
+
+
 def orphan_references(refs: DataFrame, target: DataFrame) -> DataFrame:
     """Orphan references per key and month: refs (key, t) against target rows (key, start, end).
 
-    Reference counts and signed existence deltas are first summed per key and day, with map-side combine, so that a key
-    with a third of all rows is a few thousand rows. The running existence of a key over its days then decides every
-    day without deltas: positive references and zero existence is an orphan. Only days in which the key's existence
-    itself changes are looked at again, at full time resolution, after summing per key and time; such a day's rows of
-    one key are ordered by themselves, never the whole key.
+    References are first counted per key and day, with their first and last time, and signed existence deltas are
+    summed, both with map-side combine, so that a key with a third of all rows is a few thousand rows. The running
+    existence of a key over its days decides every day without deltas: positive references and zero existence is an
+    orphan. In a day with deltas these alone are ordered, and give the stretches without existence: a first or last
+    reference within one is an orphan. Only where a stretch lies between the two are references looked up again, by
+    joining them with these stretches; both tables are read once otherwise.
 
     References without key or time are no references. Repeated rows, on either side, change nothing. An empty target
     makes every reference an orphan. Result, distinct: ref_month (yyyy-MM), key.
     """
-    events = refs.where("key is not null and t is not null").select("key", "t", F.lit(1).alias("ref"), F.lit(0).alias("delta")).unionByName(
-        existence_deltas(target).select("key", "t", F.lit(0).alias("ref"), "delta")
-    ).withColumn("day", F.to_date("t"))
+    known = refs.where("key is not null and t is not null").select("key", "t", F.to_date("t").alias("day"))
+    moves = cut(existence_deltas(target).groupBy("key", "t").agg(F.sum("delta").alias("net")).where("net <> 0").withColumn("day", F.to_date("t")))
+    counted = known.groupBy("key", "day").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    changed = moves.groupBy("key", "day").agg(F.sum("net").alias("net"))
     before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
-        events.groupBy("key", "day")
-        .agg(F.sum("ref").alias("refs"), F.sum("delta").alias("net"), F.sum(F.abs("delta")).alias("moves"))
+        counted.unionByName(changed, allowMissingColumns=True)
+        .groupBy("key", "day")
+        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("net").alias("net"))
         .withColumn("carried", F.coalesce(F.sum("net").over(before), F.lit(0)))
-        .where("refs > 0 and (moves > 0 or carried = 0)")
-    )
-    days = cut(days.select("key", "day", "moves", "carried"))
-    settled = days.where("moves = 0").select("key", "day")
-    open_days = days.where("moves > 0").select("key", "day", "carried")
-    upto = Window.partitionBy("key", "day").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = (
-        join_counted(events, open_days, ["key", "day"], "inner")
-        .groupBy("key", "day", "t", "carried")
-        .agg(F.sum("ref").alias("refs"), F.sum("delta").alias("net"))
-        .withColumn("existing", F.col("carried") + F.sum("net").over(upto))
-        .where("refs > 0 and existing = 0")
-        .select("key", "day")
+        .where("first is not null and (net is not null or carried = 0)")
     )
-    month = F.date_format("day", "yyyy-MM").alias("ref_month")
-    return settled.union(within).select(month, "key").distinct()
+    days = cut(days.select("key", "day", "first", "last", F.col("net").isNotNull().alias("open"), "carried"))
+    spans = cut(uncovered_spans(moves, days.where("open").select("key", "day", "carried")))
+    within = lambda t: (F.col(t) >= F.col("from")) & (F.col("to").isNull() | (F.col(t) < F.col("to")))
+    between = (F.col("from") > F.col("first")) & (F.col("to") <= F.col("last"))
+    judged = days.where("open").join(spans, ["key", "day"]).groupBy("key", "day").agg(F.max(within("first") | within("last")).alias("orphan"), F.max(between).alias("between"))
+    judged = cut(judged.where("orphan or between"))
+    found = days.where("not open").select("key", "day").union(judged.where("orphan").select("key", "day"))
+    unsure = judged.where("not orphan").select("key", "day")
+    if not unsure.isEmpty():
+        asked = cut(spans.join(unsure, ["key", "day"]))
+        found = found.union(join_counted(known, asked, ["key", "day"], "inner").where(within("t")).select("key", "day"))
+    return found.select(F.date_format("day", "yyyy-MM").alias("ref_month"), "key").distinct()
+
+
+def count_deltas(refs: DataFrame, target: DataFrame, since=None, until=None) -> DataFrame:
+    """Signed changes (key, refs, existing) that reference rows (key) and target rows (key, start, end) make.
+
+    With `since` or `until` only those of references and changes of existence at times t with since <= t < until; the
+    references then have a time t.
+    """
 
+    def timely(rows: DataFrame) -> DataFrame:
+        rows = rows if since is None else rows.where(F.col("t") >= F.lit(since))
+        return rows if until is None else rows.where(F.col("t") < F.lit(until))
 
-def count_deltas(refs: DataFrame, target: DataFrame) -> DataFrame:
-    """Signed changes (key, refs, existing) that reference rows (key) and target rows (key, start, end) make."""
-    named = refs.where("key is not null").select("key", F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("existing"))
-    return named.unionByName(existence_deltas(target).select("key", F.lit(0).cast("bigint").alias("refs"), F.col("delta").cast("bigint").alias("existing")))
+    named = timely(refs.where("key is not null")).select("key", F.lit(1).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("existing"))
+    return named.unionByName(timely(existence_deltas(target)).select("key", F.lit(0).cast("bigint").alias("refs"), F.col("delta").cast("bigint").alias("existing")))
 
 
 def merge_counts(counts: DataFrame, deltas: DataFrame) -> DataFrame:

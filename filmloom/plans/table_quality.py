@@ -11,6 +11,7 @@ from filmloom.operators.orphans import count_deltas, current_orphans, merge_coun
 from filmloom.operators.packed import explode_packed
 from filmloom.operators.skew import LoadPlan, fragment_replicate_join, per_key_counts, plan_loads
 from filmloom.operators.snapshots import snapshot_changes
+from filmloom.scratch import cut
 from filmloom.sources.tables import table
 
 
@@ -60,11 +61,19 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_current(spark: SparkSession, folder: str) -> DataFrame:
-    """Keys that are referred to and have no row left, with their references: the report of the signed counts."""
+    """Keys that are referred to and have no row left, with their references: the report of the signed counts.
+
+    The counts up to the last month of references are a stored table; what has happened since is merged into it.
+    """
     parts = []
     for source, key, time, target in REFERENCES:
-        deltas = count_deltas(_refs(spark, folder, source, key, time).where("t is not null"), _lifetimes(spark, folder, target, key))
-        parts.append(current_orphans(merge_counts(deltas.limit(0), deltas)).select(F.lit(source).alias("source_table"), F.col("key").alias("ref_key"), F.col("refs").alias("n_refs")))
+        refs, rows = _refs(spark, folder, source, key, time).where("t is not null"), _lifetimes(spark, folder, target, key)
+        month = refs.agg(F.date_trunc("month", F.max("t")).cast("timestamp_ntz")).first()[0]
+        past = count_deltas(refs, rows, until=month)
+        counts = merge_counts(past.limit(0), past)
+        if month is not None:
+            counts = merge_counts(cut(counts.where("refs <> 0 or existing <> 0")), count_deltas(refs, rows, since=month))
+        parts.append(current_orphans(counts).select(F.lit(source).alias("source_table"), F.col("key").alias("ref_key"), F.col("refs").alias("n_refs")))
     return parts[0].union(parts[1])
 
 

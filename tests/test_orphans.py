@@ -73,3 +73,38 @@ def test_stream(spark, tmp_path):
     assert step([("a", 2, 0), ("b", 1, 1), (None, 1, 0)]) == {"a"}
     assert step([("b", 0, -1), ("c", 1, 0)]) == {"a", "b", "c"}
     assert step([("a", -2, 0), ("c", 0, 1)]) == {"b"}
+
+
+def test_half_of_all_rows_on_one_open_day(spark):
+    """One key is referred to all day while it is deleted and returns twice; others only before or after."""
+    day = START + timedelta(days=3)
+    target = [("hot", START, day + timedelta(hours=2)), ("hot", day + timedelta(hours=3), day + timedelta(hours=9)), ("hot", day + timedelta(hours=11), None)]
+    target += [(f"k{i}", day + timedelta(minutes=i), None) for i in range(50)]
+    covered = [day + timedelta(hours=h, seconds=s) for h in (0, 1, 4, 8, 12, 23) for s in range(300)]
+    refs = [("hot", t) for t in covered] + [(f"k{i % 60}", day + timedelta(minutes=30 + i % 7)) for i in range(1800)]
+    assert run(spark, refs, target) == plain(refs, target) and ("2024-01", "hot") not in run(spark, refs, target)
+    gap = [*refs, ("hot", day + timedelta(hours=10))]
+    assert ("2024-01", "hot") in run(spark, gap, target) and run(spark, gap, target) == plain(gap, target)
+
+
+def test_stream_is_compacted(spark, tmp_path):
+    from filmloom.streaming.orphans import keep_orphan_report, latest_report
+
+    schema, folder = "key string, refs bigint, existing bigint", f"{tmp_path}/out"
+    want, rng = {}, random.Random(13)
+    for step in range(7):
+        rows = [(f"k{rng.randrange(6)}", rng.choice([1, 1, -1]), rng.choice([0, 1, -1])) for _ in range(8)]
+        if step == 5:
+            rows += [(k, -refs, -existing) for k, (refs, existing) in want.items()]  # nothing is left
+        for k, refs, existing in rows:
+            a, b = want.get(k, (0, 0))
+            want[k] = (a + refs, b + existing)
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = keep_orphan_report(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), folder, f"{tmp_path}/state", compact_every=3)
+        q.awaitTermination(60)
+        assert q.exception() is None
+        got = {r["key"]: r["refs"] for r in latest_report(spark.read.parquet(folder)).collect()}
+        assert got == {k: refs for k, (refs, existing) in want.items() if refs > 0 and existing == 0}
+        if step == 5:
+            base = spark.read.parquet(folder)
+            assert {r["batch"] for r in base.select("batch").distinct().collect()} <= {5} and base.count() <= 6

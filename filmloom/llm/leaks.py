@@ -4,42 +4,133 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.llm.fm_index import FMIndex
+from filmloom.scratch import cut
 
 WORD = re.compile(r"[^\W_]+")
 #: Consecutive words of an item that make a leak.
 LEAK_WORDS = 12
 #: Words of one shard's index, and of the pieces that a longer run of words is cut into.
 SHARD_WORDS, PIECE_WORDS = 1_000_000, 100_000
-#: Characters of evaluation text that are searched for at once; more are searched in blocks.
+#: Characters of evaluation text that a task holds at once; a shard is searched for more block by block.
 BLOCK_CHARS = 32_000_000
 
 
+def folded(text: str) -> list[str]:
+    """The words of a text in comparable form."""
+    return [m.group().casefold() for m in WORD.finditer(text)]
+
+
+@lru_cache(1)
+def _symbols(files: tuple[str, ...]) -> dict[str, int]:
+    """The number of each word of a stored vocabulary, from 2; 1 stands for whatever separates."""
+    words = (w for batch in _batches(files) for w in batch.column(0).to_pylist())
+    return {word: i for i, word in enumerate(words, 2)}
+
+
+def _batches(files: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    for name in files:
+        system, path = FileSystem.from_uri(name)
+        with system.open_input_file(path) as source:
+            yield from pq.ParquetFile(source).iter_batches(4096)
+
+
+class Windows:
+    """All windows of `width` symbols of a block of items, equal ones once; an array of rows, without their storage."""
+
+    def __init__(self, items: list[int], texts: list[np.ndarray], width: int):
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.text = np.concatenate([*texts, np.zeros(0, np.int32)]).astype(np.int32)
+        first = np.cumsum(sizes) - sizes
+        many = np.maximum(sizes - width + 1, 0)
+        start = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(sizes) else np.zeros(0, np.int64)
+        owner = np.repeat(np.array(items, np.int64), many)
+        code = np.zeros(len(start), np.uint64)
+        for k in range(width):
+            code = code * np.uint64(0x9E3779B97F4A7C15) + self.text[start + k].astype(np.uint64) + np.uint64(1)
+        _, chosen, place = np.unique(code, return_index=True, return_inverse=True)
+        other = np.zeros(len(start), bool)  # of equal code, but another window
+        for k in range(width):
+            other |= self.text[start + k] != self.text[start[chosen[place]] + k]
+        place[other] = len(chosen) + np.arange(other.sum())
+        self.start = np.concatenate([start[chosen], start[other]])
+        pairs = np.unique(np.stack([place, owner], axis=1), axis=0)
+        self.owner_start = np.searchsorted(pairs[:, 0], np.arange(len(self.start) + 1))
+        self.owners = pairs[:, 1]
+        self.shape = (len(self.start), width)
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def __getitem__(self, at: tuple[np.ndarray, int]) -> np.ndarray:
+        return self.text[self.start[at[0]] + at[1]]
+
+
+@dataclass(frozen=True)
 class Phrases:
-    """All windows of LEAK_WORDS words of evaluation items, as symbols from 2; 1 stands for whatever separates."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        self.width, self.symbols = width, {}
-        rows, owners = [], []
-        for item, text in items:
-            codes = [self.symbols.setdefault(m.group().casefold(), len(self.symbols) + 2) for m in WORD.finditer(text or "")]
-            if len(codes) >= width:
-                windows = np.lib.stride_tricks.sliding_window_view(np.array(codes, np.int64), width)
-                rows.append(windows)
-                owners.append(np.full(len(windows), item, np.int64))
-        if rows:
-            self.rows, place = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
-            pairs = np.unique(np.stack([place.ravel(), np.concatenate(owners)], axis=1), axis=0)
-            self.owner_start = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-            self.owners = pairs[:, 1]
-        else:
-            self.rows, self.owner_start, self.owners = np.zeros((0, width), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    """Evaluation items as files in the shared folder: their vocabulary, and (item, chars, symbols) of each."""
+
+    vocabulary: tuple[str, ...]
+    items: tuple[str, ...]
+    width: int
+    block_chars: int
+
+    def symbols(self) -> dict[str, int]:
+        return _symbols(self.vocabulary)
+
+    def blocks(self) -> Iterator[Windows]:
+        """The windows of all items, in blocks of about `block_chars`; a single block is read once by a worker."""
+        if (kept := _only_block.get(self)) is not None:
+            yield kept
+            return
+        items, texts, chars, number = [], [], 0, 0
+        for batch in _batches(self.items):
+            for item, size, symbols in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                items.append(item)
+                texts.append(symbols.values.to_numpy(zero_copy_only=False))
+                chars += size
+                if chars >= self.block_chars:
+                    yield Windows(items, texts, self.width)
+                    items, texts, chars, number = [], [], 0, number + 1
+        last = Windows(items, texts, self.width)
+        if not number:
+            _only_block.clear()
+            _only_block[self] = last
+        yield last
+
+
+_only_block: dict[Phrases, Windows] = {}
+
+
+def store_phrases(items: DataFrame, width: int) -> Phrases:
+    """Writes the items (item_id, text) as numbers of words; tasks do the work, and the driver sees file names only."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({w for t in batch.column(0).to_pylist() for w in folded(t)}), pa.string())], ["word"])
+
+    vocabulary = cut(items.select("text").mapInArrow(words, "word string").distinct())
+    files = tuple(sorted(vocabulary.inputFiles()))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = _symbols(files)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            symbols = pa.array([[number[w] for w in folded(t)] for t in texts], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), symbols], ["item", "chars", "symbols"])
+
+    stored = cut(items.mapInArrow(encode, "item bigint, chars bigint, symbols array<int>"))
+    return Phrases(files, tuple(sorted(stored.inputFiles())), width, BLOCK_CHARS)
 
 
 def _runs(text: str, symbols: dict[str, int], width: int) -> Iterator[tuple[int, list[int]]]:
@@ -64,21 +155,29 @@ def _runs(text: str, symbols: dict[str, int], width: int) -> Iterator[tuple[int,
         yield at + 1 - len(now), now
 
 
-def _search_shard(docs: list[int], firsts: list[int], runs: list[list[int]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches (document index, first word, phrase) in the runs of a shard."""
+def _search_shard(docs: list[int], firsts: list[int], runs: list[list[int]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document index, first word) of the matches in the runs of a shard, and distinct (document index, item)."""
     sizes = np.array([len(r) + 1 for r in runs])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     text = np.ones(starts[-1], np.int64)
     for at, run in zip(starts, runs):
         text[at : at + len(run)] = run
     index = FMIndex(text)
-    low, high = index.search(phrases.rows)
-    hit = np.flatnonzero(high > low)
-    many = (high - low)[hit]
-    rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-    position = index.locate(rows)
-    run = np.searchsorted(starts, position, side="right") - 1
-    return np.array(docs)[run], np.array(firsts)[run] + position - starts[run], np.repeat(hit, many)
+    words, items = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    for windows in phrases.blocks():
+        low, high = index.search(windows)
+        hit = np.flatnonzero(high > low)
+        many = (high - low)[hit]
+        rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        position = index.locate(rows)
+        run = np.searchsorted(starts, position, side="right") - 1
+        doc = np.array(docs)[run]
+        words.append(np.stack([doc, np.array(firsts)[run] + position - starts[run]], axis=1))
+        pairs = np.unique(np.stack([doc, np.repeat(hit, many)], axis=1), axis=0)
+        owned = (windows.owner_start[pairs[:, 1] + 1] - windows.owner_start[pairs[:, 1]]).astype(np.int64)
+        owner = windows.owners[np.repeat(windows.owner_start[pairs[:, 1]] - np.concatenate([[0], np.cumsum(owned)[:-1]]), owned) + np.arange(owned.sum())]
+        items.append(np.stack([np.repeat(pairs[:, 0], owned), owner], axis=1))
+    return np.unique(np.concatenate(words), axis=0), np.unique(np.concatenate(items), axis=0)
 
 
 def _merged(text: str, words: np.ndarray, width: int) -> list[dict[str, int]]:
@@ -103,29 +202,24 @@ def _scan(phrases: Phrases, spans: bool):
     def close(ids: pa.Array, texts: list[str], docs: list[int], firsts: list[int], runs: list[list[int]]) -> Iterator[pa.RecordBatch]:
         if not runs:
             return
-        doc, word, phrase = _search_shard(docs, firsts, runs, phrases)
+        words, items = _search_shard(docs, firsts, runs, phrases)
         if spans:
-            order = np.argsort(doc, kind="stable")
-            doc, word, phrase = doc[order], word[order], phrase[order]
-            hit = np.unique(doc)
-            words = np.split(word, np.flatnonzero(np.diff(doc)) + 1) if len(doc) else []
-            owners = [sorted({int(o) for p in np.unique(ps) for o in phrases.owners[phrases.owner_start[p] : phrases.owner_start[p + 1]]}) for ps in (np.split(phrase, np.flatnonzero(np.diff(doc)) + 1) if len(doc) else [])]
-            merged = pa.array([_merged(texts[d], w, phrases.width) for d, w in zip(hit, words)], _SPANS)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array(owners, pa.list_(pa.int64())), merged], ["doc", "items", "spans"])
-            return
-        pairs = np.unique(np.stack([doc, phrase], axis=1), axis=0)
-        many = (phrases.owner_start[pairs[:, 1] + 1] - phrases.owner_start[pairs[:, 1]]).astype(np.int64)
-        owner = phrases.owners[np.repeat(phrases.owner_start[pairs[:, 1]] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
-        found = np.unique(np.stack([np.repeat(pairs[:, 0], many), owner], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[:, 0])), pa.array(found[:, 1])], ["doc", "item"])
+            hit, first = np.unique(words[:, 0], return_index=True)
+            _, first_item = np.unique(items[:, 0], return_index=True)
+            merged = pa.array([_merged(texts[d], w, phrases.width) for d, w in zip(hit, np.split(words[:, 1], first[1:]))], _SPANS)
+            owners = pa.array([x.tolist() for x in np.split(items[:, 1], first_item[1:])][: len(hit)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), owners, merged], ["doc", "items", "spans"])
+        else:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(items[:, 0])), pa.array(items[:, 1])], ["doc", "item"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, docs, firsts, runs, size = [], [], [], [], [], 0
+        symbols_of = phrases.symbols()
         for batch in batches:
             ids.append(batch.column(0))
             for text in batch.column(1).to_pylist():
                 found = False
-                for first, symbols in _runs(text or "", phrases.symbols, phrases.width):
+                for first, symbols in _runs(text or "", symbols_of, phrases.width):
                     docs.append(len(texts))
                     firsts.append(first)
                     runs.append(symbols)
@@ -141,25 +235,12 @@ def _scan(phrases: Phrases, spans: bool):
     return run
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The evaluation items in blocks of about BLOCK_CHARS, so that what a task is sent stays bounded."""
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // BLOCK_CHARS))
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        yield [tuple(r) for r in part.collect()]
-
-
 def _found(documents: DataFrame, items: DataFrame, width: int, spans: bool) -> DataFrame:
     items = items.select(F.col("item_id").cast("bigint"), "text").where("item_id is not null and text is not null")
     docs = documents.select(F.col("doc_id").alias("doc"), "text").where("doc_id is not null and text is not null")
     kind = docs.schema["doc"].dataType.simpleString()
     schema = f"doc {kind}, items array<bigint>, spans array<struct<start: bigint, `end`: bigint>>" if spans else f"doc {kind}, item bigint"
-    parts = [docs.mapInArrow(_scan(Phrases(block, width), spans), schema) for block in _blocks(items)]
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.union(part)
-    return whole
+    return docs.mapInArrow(_scan(store_phrases(items, width), spans), schema)
 
 
 def leaks(documents: DataFrame, items: DataFrame, width: int = LEAK_WORDS) -> DataFrame:
@@ -171,7 +252,8 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = LEAK_WORDS) -> Da
     items at all can hold no phrase and stay out of the index. No shuffle but that of the result's distinct rows.
 
     Null and empty texts hold nothing; items of fewer than `width` words leak nowhere; a document id that occurs twice
-    stands for both texts; other columns are not read. Items go to the tasks in blocks of BLOCK_CHARS.
+    stands for both texts; other columns are not read. The items are written once as numbers of words; tasks read them
+    from the shared folder, in blocks of BLOCK_CHARS, each shard meets all blocks in the one pass over the documents.
     """
     return _found(documents, items, width, False).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
 
@@ -179,7 +261,7 @@ def leaks(documents: DataFrame, items: DataFrame, width: int = LEAK_WORDS) -> Da
 def removal_spans(documents: DataFrame, items: DataFrame, width: int = LEAK_WORDS) -> DataFrame:
     """(doc_id, items, span_start, span_end): the leaked stretches of each document, as character offsets of its text.
 
-    Matches that overlap or touch are one span; with items in several blocks, spans are those of each block.
+    Matches that overlap or touch are one span, whichever items they are of.
     """
     found = _found(documents, items, width, True)
     return found.select(F.col("doc").alias("doc_id"), "items", F.explode("spans").alias("s")).select("doc_id", "items", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))

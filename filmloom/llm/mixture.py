@@ -9,10 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from filmloom.scratch import cut
+from filmloom.scratch import BROADCAST_BYTES, ROW_OVERHEAD, cut
 
-#: Patterns of sources that hold the same record, and sources, that a plan may have.
-MAX_PATTERNS, MAX_SOURCES = 100_000, 1000
 #: Records of one pattern ordered by one task, about.
 BUCKET_RECORDS = 100_000
 
@@ -146,14 +144,12 @@ def mix(records: DataFrame, targets: list[Target], seed: int = 0, total: int | N
     ordered by one task: positions are sums over hash buckets and within them.
 
     Rows with a null doc_id, source or record, without tokens, or of a source without target are not used. Repeated rows
-    are one. Only the sums by pattern and the targets reach the driver.
+    are one. Only the targets and the sums by pattern reach the driver: at most 2 ** n - 1 rows for n targets.
     """
-    if len(targets) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
     number = records.sparkSession.createDataFrame([(t.source, i) for i, t in enumerate(targets)], "source string, s int")
     held = (
         records.where("doc_id is not null and source is not null and record is not null and tokens > 0")
-        .join(F.broadcast(number), "source")
+        .join(F.broadcast(number), "source")  # the targets given
         .groupBy("record", "s")
         .agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
         .groupBy("record")
@@ -161,9 +157,7 @@ def mix(records: DataFrame, targets: list[Target], seed: int = 0, total: int | N
         .withColumn("pattern", F.concat_ws(",", F.transform("held", lambda h: h["s"].cast("string"))))
     )
     held = cut(held)
-    sums = held.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} patterns of sources")
+    sums = held.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records")).collect()
     sums.sort(key=lambda r: r["pattern"])
     _, routes = route([(tuple(map(int, r["pattern"].split(","))), r["tokens"]) for r in sums], targets, total)
     arcs: dict[int, list[tuple[int, int, int]]] = {}
@@ -174,8 +168,9 @@ def mix(records: DataFrame, targets: list[Target], seed: int = 0, total: int | N
     plan = records.sparkSession.createDataFrame(
         [(sums[p]["pattern"], sums[p]["tokens"], spans) for p, spans in arcs.items()], "pattern string, whole bigint, spans array<struct<s: int, a: bigint, b: bigint>>"
     )
+    size = sum(ROW_OVERHEAD + len(sums[p]["pattern"]) + 40 * len(spans) for p, spans in arcs.items())
     buckets = max(1, sum(r["records"] for r in sums) // BUCKET_RECORDS)
-    placed = held.join(F.broadcast(plan), "pattern").withColumn("h", F.xxhash64(F.lit(seed), "record"))  # at most MAX_PATTERNS rows
+    placed = held.join(F.broadcast(plan) if size <= BROADCAST_BYTES else plan, "pattern").withColumn("h", F.xxhash64(F.lit(seed), "record"))
     placed = placed.withColumn("bucket", F.pmod("h", F.lit(buckets)))
     before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("pattern", "bucket").agg(F.sum("tokens").alias("sum")).select("pattern", "bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))

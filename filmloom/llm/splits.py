@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from filmloom.llm.components import connected_components
-from filmloom.scratch import cut, join_counted
+from filmloom.scratch import BROADCAST_BYTES, ROW_OVERHEAD, cut, join_counted
 
 #: Rows that one rank bucket holds about.
 RANK_BUCKET = 100_000
-#: Most splits that a plan takes.
-MAX_SPLITS = 1000
 #: Groups of one size up to which the greedy choice is simulated one by one.
 SIMULATED = 1000
 
@@ -76,8 +74,6 @@ def assign_splits(items: DataFrame, targets: list[tuple[str, float]]) -> DataFra
     positive gets nothing; without any positive share no item is assigned.
     """
     targets = [(n, float(s)) for n, s in targets if n is not None and s is not None and s > 0]
-    if len(targets) > MAX_SPLITS:
-        raise ValueError(f"more than {MAX_SPLITS} splits")
     if not targets:
         return items.select("item", "group", F.lit("").alias("split_name")).where("false")
     whole = sum(s for _, s in targets)
@@ -90,6 +86,7 @@ def assign_splits(items: DataFrame, targets: list[tuple[str, float]]) -> DataFra
         upto = 0
         ends = [upto := upto + g for g in got]
         plan.append((size, ends))
+    size = len(plan) * (ROW_OVERHEAD + 8 * len(targets))
     plan = spark.createDataFrame(plan, "items bigint, ends array<bigint>")
     bucketed = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
     offsets = (
@@ -102,7 +99,7 @@ def assign_splits(items: DataFrame, targets: list[tuple[str, float]]) -> DataFra
     chosen = (
         bucketed.join(offsets, ["items", "bucket"])
         .withColumn("rank", rank)
-        .join(F.broadcast(plan) if len(sizes) <= 100_000 else plan, "items")
+        .join(F.broadcast(plan) if size <= BROADCAST_BYTES else plan, "items")
         .select("group", F.element_at(names, F.size(F.filter("ends", lambda e: e < F.col("rank"))) + 1).alias("split_name"))
     )
     return join_counted(items.select("item", "group"), cut(chosen), ["group"], "inner").select("item", "group", "split_name")

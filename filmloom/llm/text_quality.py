@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from filmloom.llm.encodings import WrongEncodings
 from filmloom.llm.leaks import LEAK_WORDS, leaks, removal_spans
-from filmloom.llm.mixture import MAX_SOURCES, Target, mix, mix_report
+from filmloom.llm.mixture import Target, mix, mix_report
 from filmloom.llm.tokens import token_count
 from filmloom.sources.tables import table
 
@@ -39,7 +39,6 @@ def p10_restored(spark: SparkSession, folder: str) -> DataFrame:
     return WrongEncodings(table(spark, folder, "documents")).restored().select(F.col("doc").alias("doc_id"), "restored", "complete")
 
 
-
 def source_name(column: str) -> Column:
     """A source in comparable form: outer white space goes, hyphens, underscores and blanks are the same, lower case."""
     name = F.translate(F.lower(F.regexp_replace(column, r"(?U)^\s+|\s+$", "")), "- ", "__")
@@ -50,11 +49,12 @@ def _targets(spark: SparkSession, folder: str) -> list[Target]:
     """Targets of sources by comparable name; rows of one source add their shares and allow their largest repeats."""
     rows = table(spark, folder, "mix_targets").select(source_name("source").alias("source"), "target_share", "max_repeats").where("source is not null")
     rows = rows.groupBy("source").agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(0))).alias("repeats"))
-    return sorted((Target(r["source"], r["share"], r["repeats"]) for r in rows.limit(MAX_SOURCES + 1).collect()), key=lambda t: t.source)
+    return sorted((Target(r["source"], r["share"], r["repeats"]) for r in rows.collect()), key=lambda t: t.source)
 
 
 def _mixed(spark: SparkSession, folder: str, targets: list[Target]) -> DataFrame:
-    texts = table(spark, folder, "documents").select("doc_id", source_name("source").alias("source"), F.sha2("text", 256).alias("record"), token_count()("text").alias("tokens"))
+    asked = table(spark, folder, "documents").select("doc_id", source_name("source").alias("source"), "text").where(F.col("source").isin([t.source for t in targets]))
+    texts = asked.select("doc_id", "source", F.sha2("text", 256).alias("record"), token_count()("text").alias("tokens"))
     return mix(texts, targets)
 
 

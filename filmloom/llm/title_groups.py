@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from filmloom.functions.keys import clean_key, clean_key_sql
-from filmloom.llm.splits import MAX_SPLITS, assign_splits, groups_of
+from filmloom.llm.splits import assign_splits, groups_of
 from filmloom.llm.together import CHUNK_ITEMS, pairs_together
 from filmloom.sources.tables import table
 
@@ -26,7 +26,7 @@ def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
     grouped = groups_of(_directed(spark, folder))
     titles = table(spark, folder, "title_basics").select(clean_key("tconst").alias("item")).where("item is not null").distinct()
     single = titles.join(grouped, "item", "left_anti").select("item", F.col("item").alias("group"), F.lit(1).cast("bigint").alias("items"))
-    targets = table(spark, folder, "split_targets").select("split_name", "target_share").limit(MAX_SPLITS + 1).collect()
+    targets = table(spark, folder, "split_targets").select("split_name", "target_share").collect()
     assigned = assign_splits(grouped.unionByName(single), [tuple(r) for r in targets])
     return assigned.select(F.col("item").alias("tconst"), F.col("group").alias("group_tconst"), "split_name")
 

@@ -75,3 +75,26 @@ def test_spans(spark):
     e = spark.createDataFrame([(9, item)], "item_id long, text string")
     rows = removal_spans(d, e, 4).collect()
     assert [(text[r["span_start"] : r["span_end"]], list(r["items"])) for r in rows] == [("ONE-two three; four five six", [9]), ("one two three four", [9])]
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    """Spans and items are those of all items together, however many blocks these are held in."""
+    docs, items = corpus()
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    rows = lambda: sorted((r["doc_id"], tuple(r["items"]), r["span_start"], r["span_end"]) for r in removal_spans(d, e, 5).collect())
+    whole = rows()
+    for chars in (1, 200, 700):
+        monkeypatch.setattr(module, "BLOCK_CHARS", chars)
+        assert rows() == whole
+    found = plain(docs, items, 5)
+    assert {(doc, item) for doc, of, _, _ in whole for item in of} == found
+
+
+def test_equal_windows_are_kept_once():
+    texts = [np.array([2, 3, 4, 5, 2, 3, 4], np.int32), np.array([3, 4, 5], np.int32), np.array([9], np.int32)]
+    windows = module.Windows([7, 8, 9], texts, 3)
+    at = np.arange(len(windows))
+    rows = list(zip(*(windows[at, k].tolist() for k in range(3))))
+    owners = [windows.owners[a:b].tolist() for a, b in zip(windows.owner_start, windows.owner_start[1:])]
+    assert dict(zip(rows, owners)) == {(2, 3, 4): [7], (3, 4, 5): [7, 8], (4, 5, 2): [7], (5, 2, 3): [7]}
+    assert len(module.Windows([], [], 3)) == 0

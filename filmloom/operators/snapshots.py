@@ -7,8 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Snapshot dates that may be held on the driver: 270 years of daily deliveries.
-MAX_SNAPSHOTS = 100_000
+from filmloom.scratch import BROADCAST_BYTES, ROW_OVERHEAD
 
 
 def row_hash(values: list[Column]) -> Column:
@@ -31,16 +30,14 @@ def snapshot_changes(df: DataFrame, snapshot: Column, key: Column, values: list[
     rows = df.select(
         snapshot.alias("at"), key.alias("key"), F.struct(delivered.alias("d"), row_hash(values).alias("h")).alias("row")
     ).where(F.col("at").isNotNull() & F.col("key").isNotNull())
-    dates = [r[0] for r in df.select(snapshot.alias("at")).where("at is not null").distinct().limit(MAX_SNAPSHOTS + 1).collect()]
-    if len(dates) > MAX_SNAPSHOTS:
-        raise ValueError(f"more than {MAX_SNAPSHOTS} snapshots")
+    dates = [r[0] for r in df.select(snapshot.alias("at")).where("at is not null").distinct().collect()]  # one per snapshot
     dates.sort()
     following = df.sparkSession.createDataFrame(
         [(a, a if i else None, b) for i, (a, b) in enumerate(zip(dates, [*dates[1:], None]))],
         f"at {rows.schema['at'].dataType.simpleString()}, own {rows.schema['at'].dataType.simpleString()}, next {rows.schema['at'].dataType.simpleString()}",
     )
     tagged = (
-        rows.join(F.broadcast(following), "at")  # at most MAX_SNAPSHOTS rows
+        rows.join(F.broadcast(following) if len(dates) * ROW_OVERHEAD <= BROADCAST_BYTES else following, "at")
         .select("key", "row", F.explode(F.array(F.struct(F.col("own").alias("at"), F.lit(True).alias("later")), F.struct(F.col("next").alias("at"), F.lit(False).alias("later")))).alias("side"))
         .select("key", "row", "side.*")
         .where("at is not null")

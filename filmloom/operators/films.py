@@ -124,6 +124,15 @@ def actor_ratings(films: Films) -> DataFrame:
     return role_ratings(films).where("actor_avg is not null").select("nconst", F.col("actor_avg").alias("avg_rating"), F.col("actor_credits").alias("n_credits"))
 
 
+def leading_credits(films: Films) -> DataFrame:
+    """The first SLOTS directors (role 0) and actors (role 1) of each title by billing order, ties by nconst: (tconst, role,
+    ordering, nconst, place), by one window."""
+    role = F.when(F.col("category") == "director", 0).otherwise(1)
+    order = Window.partitionBy("tconst", "role").orderBy("ordering", "nconst")
+    credits = films.credits.where(F.col("category").isin(*KEPT_CATEGORIES)).select("tconst", role.alias("role"), "ordering", "nconst")
+    return credits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SLOTS)
+
+
 def enriched(films: Films, by_place: bool = False) -> DataFrame:
     """Rated films with director, leading actors and their mean ratings: 15 columns, one row per film.
 
@@ -131,10 +140,7 @@ def enriched(films: Films, by_place: bool = False) -> DataFrame:
     director (slot 0) and the leading actors (slots 1 to 3) of a title; all slots are one long table that meets the
     people's means in one join by person and is folded back by title, instead of a join for each slot.
     """
-    role = F.when(F.col("category") == "director", 0).otherwise(1)
-    order = Window.partitionBy("tconst", "role").orderBy("ordering", "nconst")
-    credits = films.credits.where(F.col("category").isin(*KEPT_CATEGORIES)).select("tconst", role.alias("role"), "ordering", "nconst")
-    leading = credits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SLOTS)
+    leading = leading_credits(films)
     slot = F.when(F.col("role") == 1, F.col("place" if by_place else "ordering")).when(F.col("place") == 1, 0)
     long = leading.select("tconst", "nconst", slot.cast("int").alias("slot")).where(F.col("slot").between(0, SLOTS) & F.col("nconst").isNotNull())
     means = role_ratings(films).select("nconst", "director_avg", "actor_avg").where("director_avg is not null or actor_avg is not null")

@@ -23,7 +23,7 @@ def serving_features(requests: DataFrame, films: Films) -> DataFrame:
     actors = F.slice(F.coalesce("actors", F.array().cast("array<string>")), 1, SLOTS)
     slim = requests.select("request_id", "title", "year", "runtime", genres.alias("genres"), "director", actors.alias("actors"), "num_votes")
     people = slim.select("request_id", F.posexplode(F.concat(F.array("director"), F.col("actors"))).alias("slot", "name")).withColumn("low", F.lower("name"))
-    resolved = people.join(resolve_people(people.select("name"), films), "low", "left")
+    resolved = people.where("low is not null").join(resolve_people(people.select("name"), films), "low")  # the others have defaults
     pick = lambda what, k: F.max(F.when(F.col("slot") == k, F.col(what)))
     wide = resolved.groupBy("request_id").agg(
         *(pick("nconst", k).alias(f"id_{k}") for k in range(SLOTS + 1)), *(pick("avg_rating", k).alias(f"rating_{k}") for k in range(SLOTS + 1))

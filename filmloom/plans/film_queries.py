@@ -14,7 +14,8 @@ from filmloom.operators.explain import BECAUSE, NAMED, NOTABLE, NOTHING, contrib
 from filmloom.operators.model import RatingModel, regression_metrics, train
 from filmloom.operators.people import people_lookup
 from filmloom.operators.serving import serving_features
-from filmloom.plans.film_views import VIEWS_SQL, film_views
+from filmloom.plans.film_views import VIEWS_SQL, FilmViews, film_views
+from filmloom.scratch import cut
 from filmloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,14 +192,18 @@ def actor_stats(spark, folder):
     return ops.actor_ratings(film_views(spark, folder))
 
 
+def _enriched(spark: SparkSession, folder: str) -> DataFrame:
+    return ops.enriched(film_views(spark, folder).with_stored_credits(ops.KEPT_CATEGORIES))
+
+
 @query("SELECT * FROM enriched")
 def enriched_titles(spark, folder):
-    return ops.enriched(film_views(spark, folder))
+    return _enriched(spark, folder)
 
 
 @query("SELECT * FROM bounded")
 def bounded_titles(spark, folder):
-    return ops.bounded(ops.enriched(film_views(spark, folder)))
+    return ops.bounded(_enriched(spark, folder))
 
 
 # Features.
@@ -220,12 +225,12 @@ _NUMERIC_NAMES = ["startYear", "runtimeMinutes", "numVotes_log", "director_avg_r
 
 @query(f"SELECT tconst, {_NUMERIC_SQL} FROM bounded", name="numeric_features")
 def numeric_feature_rows(spark, folder):
-    return ops.bounded(ops.enriched(film_views(spark, folder))).select("tconst", *(c.alias(n) for n, c in numeric_features(F.col("primaryTitle")).items()))
+    return ops.bounded(_enriched(spark, folder)).select("tconst", *(c.alias(n) for n, c in numeric_features(F.col("primaryTitle")).items()))
 
 
 @query(f"SELECT tconst, {_CATEGORICAL_SQL} FROM bounded", name="categorical_features")
 def categorical_feature_rows(spark, folder):
-    return ops.bounded(ops.enriched(film_views(spark, folder))).select("tconst", *(c.alias(n) for n, c in categorical_features().items()))
+    return ops.bounded(_enriched(spark, folder)).select("tconst", *(c.alias(n) for n, c in categorical_features().items()))
 
 
 def _frame_sql(masked: list[str], left_out: tuple[str, ...] = ()) -> str:
@@ -237,7 +242,7 @@ WHERE {' AND '.join(f'{n} IS NOT NULL' for n in masked)}"""
 
 @query(_frame_sql(_NUMERIC_NAMES))
 def training_frame(spark, folder):
-    return ops.training_rows(ops.enriched(film_views(spark, folder)))
+    return ops.training_rows(_enriched(spark, folder))
 
 
 _STATS = ("director_avg_rating", "actor_1_avg_rating", "actor_2_avg_rating", "actor_3_avg_rating")
@@ -245,7 +250,7 @@ _STATS = ("director_avg_rating", "actor_1_avg_rating", "actor_2_avg_rating", "ac
 
 @query(_frame_sql([n for n in _NUMERIC_NAMES if n not in _STATS], _STATS))
 def training_frame_without_people(spark, folder):
-    return ops.training_rows(ops.enriched(film_views(spark, folder)), director_stats=False, actor_stats=False)
+    return ops.training_rows(_enriched(spark, folder), director_stats=False, actor_stats=False)
 
 
 @query(f"SELECT tconst, {_TRAIN_KEY_SQL} AS actor_ids_combined FROM slots")
@@ -284,18 +289,17 @@ def people_by_name(spark, folder):
     return people_lookup(names.union(spark.createDataFrame([(NOBODY,)], "name string")), views)
 
 
-def _requests(spark: SparkSession, folder: str) -> DataFrame:
-    """A request for each title, naming its first director and leading actors as name_basics spells them."""
-    views = film_views(spark, folder)
+def _requests(views: FilmViews) -> DataFrame:
+    """A request for each title, naming its first director and leading actors as name_basics spells them; a stored table,
+    as requests are."""
     names = views.people.where("primaryName is not null").groupBy("nconst").agg(F.min("primaryName").alias("name"))
-    director = views.credits.where("category = 'director'").groupBy("tconst").agg(F.min(F.struct("ordering", "nconst")).alias("d")).select("tconst", F.lit(0).alias("place"), F.col("d.nconst").alias("nconst"))
-    cast = ops.leading_actors(views).select("tconst", "place", "nconst").union(director.select("tconst", F.lit(0).cast("bigint"), "nconst"))
+    cast = ops.leading_credits(views).where("role = 1 or place = 1").select("tconst", (F.col("place") * F.col("role")).alias("place"), "nconst").where("nconst is not null")
     named = cast.join(names, "nconst").groupBy("tconst").agg(
         F.max(F.when(F.col("place") == 0, F.col("name"))).alias("director"), F.transform(F.array_sort(F.collect_list(F.when(F.col("place") > 0, F.struct("place", "name")))), lambda x: x["name"]).alias("actors")
     )
     votes = views.ratings.select("tconst", F.col("numVotes").alias("num_votes"))
     titles = views.titles.join(named, "tconst", "left").join(votes, "tconst", "left")
-    return titles.select(F.col("tconst").alias("request_id"), F.col("primaryTitle").alias("title"), F.col("startYear").alias("year"), F.col("runtimeMinutes").alias("runtime"), "genres", "director", "actors", "num_votes")
+    return cut(titles.select(F.col("tconst").alias("request_id"), F.col("primaryTitle").alias("title"), F.col("startYear").alias("year"), F.col("runtimeMinutes").alias("runtime"), "genres", "director", "actors", "num_votes"))
 
 
 _SERVING_SQL = (
@@ -319,7 +323,8 @@ FROM (SELECT *, {_title_sql('primaryTitle', 'DOUBLE')}, {NORMALIZE_SQL} AS genre
 
 @query(_SERVING_SQL, name="serving_features")
 def serving_feature_rows(spark, folder):
-    return serving_features(_requests(spark, folder), film_views(spark, folder))
+    views = film_views(spark, folder).with_stored_credits()
+    return serving_features(_requests(views), views)
 
 
 @query("SELECT tconst, CAST(printf('%.2f', greatest(0.0::DOUBLE, least(10.0::DOUBLE, averageRating * 1.5::DOUBLE - 2))) AS DOUBLE) AS rating FROM ratings WHERE averageRating IS NOT NULL")
@@ -335,7 +340,7 @@ ITERATIONS, DEPTH = 20, 5
 
 
 def _model(spark: SparkSession, folder: str) -> tuple[RatingModel | None, dict, DataFrame]:
-    rows = ops.training_rows(ops.enriched(film_views(spark, folder)))
+    rows = ops.training_rows(_enriched(spark, folder))
     return *train(rows, ITERATIONS, DEPTH), rows
 
 
@@ -343,7 +348,8 @@ def _model(spark: SparkSession, folder: str) -> tuple[RatingModel | None, dict,
 def train_predict(spark, folder):
     """Ratings of a request for every title, by the model of the same tables; null where no film can be learned from."""
     model, _, _ = _model(spark, folder)
-    features = serving_features(_requests(spark, folder), film_views(spark, folder))
+    views = film_views(spark, folder).with_stored_credits()
+    features = serving_features(_requests(views), views)
     scored = model.score(features) if model else features.withColumn("rating", F.lit(None).cast("double"))
     return scored.select("request_id", "rating")
 
@@ -376,7 +382,7 @@ def shap_contributions(spark, folder):
 FROM (SELECT averageRating AS y, averageRating - coalesce(director_avg_rating, {DEFAULT_RATING}) AS e FROM bounded)""", name="regression_metrics")
 def regression_measures(spark, folder):
     """The measures of a model, here of the director's mean as the prediction."""
-    rows = ops.bounded(ops.enriched(film_views(spark, folder))).withColumn("guess", F.coalesce("director_avg_rating", F.lit(DEFAULT_RATING)))
+    rows = ops.bounded(_enriched(spark, folder)).withColumn("guess", F.coalesce("director_avg_rating", F.lit(DEFAULT_RATING)))
     return regression_metrics(rows, "averageRating", "guess").select("n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")))
 
 
@@ -389,6 +395,6 @@ SELECT tconst, list_transform(list_filter(list_sort(list_filter([{', '.join(f"{{
   lambda s: s.v IS NOT NULL))[:{NAMED}], lambda s: abs(s.v) > {NOTABLE}), lambda s: s.n || ': ' || CASE WHEN s.v > 0 THEN '+' ELSE '' END || printf('%.2f', s.v)) AS words FROM bounded)""")
 def explanation_text(spark, folder):
     """The text of given contributions: how far a film's features lie from usual ones."""
-    rows = ops.bounded(ops.enriched(film_views(spark, folder)))
+    rows = ops.bounded(_enriched(spark, folder))
     given = [(F.col("startYear") - 1950) / F.lit(100.0), (F.col("runtimeMinutes") - 100) / F.lit(100.0), *(F.col(n) - F.col("averageRating") for n in list(_GIVEN)[2:])]
     return rows.select("tconst", explanation(list(_GIVEN), F.array(*given)).alias("explanation"))

@@ -2,35 +2,62 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filmloom.functions.keys import clean_key, clean_key_sql
-from filmloom.operators.films import Films
+from filmloom.scratch import cut
 from filmloom.sources.tables import table
 
 
-def film_views(spark: SparkSession, folder: str) -> Films:
-    r"""Distinct titles, the last snapshot's ratings, distinct credits and people, under clean keys.
+class FilmViews:
+    r"""Distinct titles, the last snapshot's ratings, distinct credits and people, under clean keys; `Films`, each opened
+    when it is asked for.
 
     Rows of a title or person that differ only in when they were added are one; of a title's ratings in the last
     snapshot the latest delivered counts; a `\N` genre field is null; categories lose case and outer blanks.
     """
-    basics = table(spark, folder, "title_basics")
-    genres = F.when(F.trim("genres") != "\\N", F.col("genres"))
-    titles = basics.select(clean_key("tconst").alias("tconst"), "titleType", "primaryTitle", "startYear", "runtimeMinutes", genres.alias("genres"))
-    all_ratings = table(spark, folder, "title_ratings")
-    last = all_ratings.agg(F.max("snapshot_date").alias("snapshot_date"))
-    ratings = (
-        all_ratings.join(F.broadcast(last), "snapshot_date")  # one row
-        .groupBy(clean_key("tconst").alias("tconst"))
-        .agg(F.max(F.struct("delivered_at", "averageRating", "numVotes")).alias("r"))
-        .where("tconst is not null")
-        .select("tconst", "r.averageRating", "r.numVotes")
-    )
-    credits = table(spark, folder, "title_principals").select(clean_key("tconst").alias("tconst"), "ordering", clean_key("nconst").alias("nconst"), F.lower(F.trim("category")).alias("category"))
-    people = table(spark, folder, "name_basics").select(clean_key("nconst").alias("nconst"), "primaryName")
-    return Films(titles.where("tconst is not null").distinct(), ratings, credits.where("tconst is not null").distinct(), people.where("nconst is not null").distinct())
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._table = lambda name: table(spark, folder, name)
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        genres = F.when(F.trim("genres") != "\\N", F.col("genres"))
+        titles = self._table("title_basics").select(clean_key("tconst").alias("tconst"), "titleType", "primaryTitle", "startYear", "runtimeMinutes", genres.alias("genres"))
+        return titles.where("tconst is not null").distinct()
+
+    @cached_property
+    def ratings(self) -> DataFrame:
+        every = self._table("title_ratings")
+        last = every.agg(F.max("snapshot_date").alias("snapshot_date"))
+        latest = (
+            every.join(F.broadcast(last), "snapshot_date")  # one row
+            .groupBy(clean_key("tconst").alias("tconst"))
+            .agg(F.max(F.struct("delivered_at", "averageRating", "numVotes")).alias("r"))
+        )
+        return latest.where("tconst is not null").select("tconst", "r.averageRating", "r.numVotes")
+
+    @cached_property
+    def credits(self) -> DataFrame:
+        credits = self._table("title_principals").select(clean_key("tconst").alias("tconst"), "ordering", clean_key("nconst").alias("nconst"), F.lower(F.trim("category")).alias("category"))
+        return credits.where("tconst is not null").distinct()
+
+    @cached_property
+    def people(self) -> DataFrame:
+        return self._table("name_basics").select(clean_key("nconst").alias("nconst"), "primaryName").where("nconst is not null").distinct()
+
+    def with_stored_credits(self, categories: tuple[str, ...] = ()) -> FilmViews:
+        """Itself with the credits, of some categories only if given, cleaned and told apart once: for plans that read
+        them more than once."""
+        self.credits = cut(self.credits.where(F.col("category").isin(*categories)) if categories else self.credits)
+        return self
+
+
+def film_views(spark: SparkSession, folder: str) -> FilmViews:
+    return FilmViews(spark, folder)
 
 
 VIEWS_SQL = rf"""WITH RECURSIVE titles AS (

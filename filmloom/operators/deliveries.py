@@ -187,7 +187,7 @@ def digits_between(text: Column, low: int, high: int) -> Column:
 
 
 def parse_deliveries(df: DataFrame, row_id: str, line: str, fields: int, checks: list[tuple[str, int, int, int]], delimiter: str = "\t") -> DataFrame:
-    """Parsed lines (row_id, fields, reason, edits): `reason` is null for sound lines, `fields` null for the others.
+    """Parsed lines (row_id, fields, reason, edits, quote_edits, delimiter_edits): `reason` is null for sound lines, `fields` null for the others.
 
     The first reason that applies: `quoting` if the cheapest parse edits a quote, `columns` if it edits delimiters, the
     name of the first failing check (name, field from 0, least, greatest). No shuffle; one pass; other columns are not
@@ -209,7 +209,7 @@ def parse_deliveries(df: DataFrame, row_id: str, line: str, fields: int, checks:
     reason = F.when(F.col("quote_edits") > 0, "quoting").when(F.col("delimiter_edits") > 0, "columns")
     for name, index, low, high in checks:
         reason = reason.when(~digits_between(F.col("fields")[index], low, high), name)
-    parsed = parsed.select("row_id", "fields", reason.alias("reason"), "edits")
+    parsed = parsed.select("row_id", "fields", reason.alias("reason"), "edits", "quote_edits", "delimiter_edits")
     return parsed.withColumn("fields", F.when(F.col("reason").isNull(), F.col("fields")))
 
 

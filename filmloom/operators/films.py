@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,6 +68,27 @@ def page(keys: DataFrame, key: str, after: str, rows: int, pages: int = 1) -> Da
     return keys.select(key).where(F.col(key) > after).orderBy(key).limit(rows * pages)
 
 
+def pages(keys: DataFrame, key: str, rows: int, after: str = "", most: int | None = None) -> Iterator[DataFrame]:
+    """The pages of `rows` keys beyond `after`, one after the other, until none is left or `most` are given.
+
+    The driver sees the last key of each page only; where all pages are wanted at once, one plan over all keys does it.
+    """
+    number = 0
+    while most is None or number < most:
+        now = page(keys, key, after, rows)
+        last, found = now.agg(F.max(key), F.count(F.lit(1))).first()
+        if found:
+            yield now
+        if found < rows:
+            return
+        after, number = last, number + 1
+
+
+def bound_list(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    """A caller's list as a relation of one column; it is part of the plan, so it is as long as a caller may hold."""
+    return spark.range(1).select(F.explode(F.lit(values).cast("array<string>")).alias(name))
+
+
 def director_ordering(films: Films) -> DataFrame:
     """The least billing order of a director of each title."""
     return films.credits.where("category = 'director'").groupBy("tconst").agg(F.min("ordering").alias("min_ord"))

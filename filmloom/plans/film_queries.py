@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from filmloom.functions.features import CATEGORICAL, DEFAULT_RATING, YEARS, cate
 from filmloom.functions.text import FRANCHISE_WORDS, GENRE_SYNONYMS, TITLE_FEATURES, is_blank, normalize_genres, split_genres, title_features
 from filmloom.operators import films as ops
 from filmloom.operators.explain import BECAUSE, NAMED, NOTABLE, NOTHING, contributions, explanation
-from filmloom.operators.model import RatingModel, regression_metrics, train
+from filmloom.operators.model import RatingModel, held_out, regression_metrics, train
 from filmloom.operators.people import people_lookup
 from filmloom.operators.serving import serving_features
 from filmloom.plans.film_views import VIEWS_SQL, FilmViews, film_views
@@ -67,8 +68,8 @@ def table_row_counts(spark, folder):
     return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
 
 
-#: Rows of a page, and the key after which the registered page starts: the start of all keys.
-PAGE_ROWS, PAGE_AFTER = 10_000, ""
+#: Rows of a page, and the key after which the registered page starts.
+PAGE_ROWS, PAGE_AFTER = 100, "tt90002"
 
 
 @query(f"SELECT tconst FROM movies WHERE tconst > '{PAGE_AFTER}' ORDER BY tconst LIMIT {PAGE_ROWS}")
@@ -84,9 +85,10 @@ PAGE_CAP = 3
 @query(f"""SELECT tconst, genre FROM (SELECT tconst, unnest(string_split(genres, ',')) AS genre FROM movies
 WHERE tconst IN (SELECT tconst FROM movies ORDER BY tconst LIMIT {PAGE_ROWS * PAGE_CAP}))""")
 def capped_pages(spark, folder):
-    """Genres of the films on the first PAGE_CAP pages: the cap is the feature."""
+    """Genres of the films on the first PAGE_CAP pages, fetched page by page: the cap is the feature."""
     movies = ops.usable(film_views(spark, folder).titles)
-    kept = movies.join(ops.page(movies, "tconst", "", PAGE_ROWS, PAGE_CAP), "tconst", "left_semi")
+    keys = reduce(DataFrame.union, ops.pages(movies, "tconst", PAGE_ROWS, most=PAGE_CAP), movies.select("tconst").limit(0))
+    kept = movies.join(keys, "tconst", "left_semi")
     return kept.select("tconst", F.explode(split_genres(F.col("genres"))).alias("genre"))
 
 
@@ -95,11 +97,13 @@ def batch_movies(spark, folder):
     return ops.rated_films(film_views(spark, folder))
 
 
-@query("SELECT m.tconst, averageRating, numVotes FROM (SELECT unnest(list(tconst)) AS tconst FROM movies) m JOIN ratings USING (tconst)")
+@query(f"""SELECT m.tconst, averageRating, numVotes FROM (SELECT unnest(list(tconst)) AS tconst FROM (
+SELECT tconst FROM movies WHERE tconst > '{PAGE_AFTER}' ORDER BY tconst LIMIT {PAGE_ROWS})) m JOIN ratings USING (tconst)""")
 def bound_keys(spark, folder):
-    """Ratings of a bound list of keys, here all films: the list is a relation and is joined as one."""
+    """Ratings of a list of keys that the caller holds, here those of a page: the list is a relation and is joined as one."""
     views = film_views(spark, folder)
-    return ops.usable(views.titles).select("tconst").join(views.ratings, "tconst")
+    held = [r["tconst"] for r in ops.page(ops.usable(views.titles), "tconst", PAGE_AFTER, PAGE_ROWS).collect()]
+    return ops.bound_list(spark, held, "tconst").join(views.ratings, "tconst")
 
 
 # Genres.
@@ -335,13 +339,9 @@ def clamped_rating(spark, folder):
 
 # Models.
 
-#: Trees of the registered models, and their depth.
-ITERATIONS, DEPTH = 20, 5
-
-
 def _model(spark: SparkSession, folder: str) -> tuple[RatingModel | None, dict, DataFrame]:
     rows = ops.training_rows(_enriched(spark, folder))
-    return *train(rows, ITERATIONS, DEPTH), rows
+    return *train(rows), rows
 
 
 @query()
@@ -386,6 +386,32 @@ def regression_measures(spark, folder):
     return regression_metrics(rows, "averageRating", "guess").select("n", *(F.round(c, 6).alias(c) for c in ("mae", "rmse", "r2")))
 
 
+#: What must hold for every model.
+MODEL_CHECKS = ("contributions_add_up", "importances_sum_to_one", "metrics_recomputed", "ratings_in_range")
+
+
+@query("SELECT unnest([" + ", ".join(f"'{c}'" for c in MODEL_CHECKS) + "]) AS check_name, true AS holds WHERE EXISTS (SELECT 1 FROM title_basics)")
+def model_checks(spark, folder):
+    """Whether a model's contributions add up to its predictions, its importances to one, its ratings lie in range, and
+    its measures follow from its predictions for the held-out films; no row where no film can be learned from."""
+    model, metadata, rows = _model(spark, folder)
+    if model is None:
+        return spark.createDataFrame([], "check_name string, holds boolean")
+    scored = model.score(rows.where(held_out(F.col("tconst"), metadata["test_size"])))
+    error = F.col("averageRating") - F.col("prediction")
+    mae, rmse, low, high, n = scored.agg(F.avg(F.abs(error)), F.sqrt(F.avg(error * error)), F.min("rating"), F.max("rating"), F.count(F.lit(1))).first()
+    added = F.col("base") + F.aggregate("contributions", F.lit(0.0), lambda a, b: a + b)
+    gap = contributions(model, rows, "tconst").agg(F.max(F.abs(added - F.col("prediction")))).first()[0]
+    near = lambda a, b: a == b or abs(a - b) < 1e-9
+    holds = (
+        gap < 1e-6,
+        near(model.importance(spark).agg(F.sum("importance")).first()[0], 1.0) or not any(model.trees.featureImportances.toArray()),
+        metadata["test_rows"] == n and near(metadata["test_mae"], mae) and near(metadata["test_rmse"], rmse),
+        n == 0 or 0 <= low <= high <= 10,
+    )
+    return spark.createDataFrame(list(zip(MODEL_CHECKS, map(bool, holds))), "check_name string, holds boolean")
+
+
 _GIVEN = {"startYear": "(startYear - 1950) / 100.0::DOUBLE", "runtimeMinutes": "(runtimeMinutes - 100) / 100.0::DOUBLE", "director_avg_rating": "director_avg_rating - averageRating",
           "actor_1_avg_rating": "actor_1_avg_rating - averageRating", "actor_2_avg_rating": "actor_2_avg_rating - averageRating", "actor_3_avg_rating": "actor_3_avg_rating - averageRating"}
 

@@ -134,6 +134,11 @@ def p7_edits(spark: SparkSession, folder: str) -> DataFrame:
     return _parsed(spark, folder).where("reason is not null").select(F.col("row_id").alias("raw_id"), "reason", "edits")
 
 
+def p7_edit_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The failing lines with the numbers of quotes and delimiters that the cheapest parse inserts or deletes."""
+    return _parsed(spark, folder).where("reason is not null").select(F.col("row_id").alias("raw_id"), "reason", "quote_edits", "delimiter_edits")
+
+
 def p7_loaded(spark: SparkSession, folder: str) -> DataFrame:
     """The sound lines as typed title_basics rows; genres keep their packed form, which has quotes of its own."""
     field = F.col("fields")
@@ -163,6 +168,19 @@ judged AS (
 P7_FOUND_SQL = _P7_PARTS_SQL + "SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL"
 
 
+# With an odd number of quotes one is put in or left out at some place, from which on what was inside is outside.
+P7_EDIT_COUNTS_SQL = _P7_PARTS_SQL + r""",
+tokens AS (SELECT raw_id, unnest(t) AS c, generate_subscripts(t, 1) AS k FROM (SELECT raw_id, regexp_extract_all(l, '["	]') AS t FROM cut WHERE quotes % 2 = 1)),
+sides AS (SELECT raw_id, k, c, sum(CASE WHEN c = '"' THEN 1 ELSE 0 END) OVER (PARTITION BY raw_id ORDER BY k) % 2 AS inside FROM tokens),
+tabs AS (SELECT raw_id, k, inside FROM sides WHERE c = chr(9)),
+turned AS (
+  SELECT raw_id, sum(1 - inside) OVER up_to + sum(inside) OVER (PARTITION BY raw_id) - sum(inside) OVER up_to AS outside FROM tabs WINDOW up_to AS (PARTITION BY raw_id ORDER BY k)
+  UNION ALL SELECT raw_id, sum(inside) FROM tabs GROUP BY raw_id),
+best AS (SELECT raw_id, min(abs(outside - 5)) AS d FROM turned GROUP BY raw_id)
+SELECT raw_id, reason, CAST(quotes % 2 AS BIGINT) AS quote_edits, CAST(CASE WHEN quotes % 2 = 1 THEN coalesce(d, 5) ELSE abs(len(f) - 6) END AS BIGINT) AS delimiter_edits
+FROM judged JOIN cut USING (raw_id) LEFT JOIN best USING (raw_id) WHERE reason IS NOT NULL"""
+
+
 def _plain_sql(x: str) -> str:
     return rf"""CASE WHEN {x} <> '\N' THEN CASE WHEN regexp_full_match({x}, '"([^"]|"")*"') THEN replace({x}[2:-2], '""', '"') ELSE {x} END END"""
 
@@ -240,6 +258,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_loaded": p7_loaded,
     "p7_edits": p7_edits,
+    "p7_edit_counts": p7_edit_counts,
 }
 ORACLES = {
     "p1_found": P1_FOUND_SQL,
@@ -251,4 +270,5 @@ ORACLES = {
     "p6_found": P6_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,
     "p7_loaded": P7_LOADED_SQL,
+    "p7_edit_counts": P7_EDIT_COUNTS_SQL,
 }

@@ -14,7 +14,7 @@ QUERIES = driver.queries()
 #: Names that operators use inside.
 CLASHING = ["key", "t", "day", "ref", "delta", "task", "heavy", "kind", "partner", "node", "root", "item", "basket", "chunk", "word", "doc", "record", "tokens", "bucket", "rating", "features", "pos", "row_id", "reason", "at", "name", "low", "n", "s"]
 #: Slow fits, run on one of the two only.
-MODELS = {"model_metrics", "feature_importance", "shap_contributions"}
+MODELS = {"model_checks", "model_metrics", "feature_importance", "shap_contributions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from filmloom.operators.films import Films, actor_ratings, actor_slots, bounded, director_ratings, enriched, first_directors, leading_actors, load_films, page, training_rows
+from filmloom.operators.films import Films, actor_ratings, actor_slots, bound_list, bounded, director_ratings, enriched, first_directors, leading_actors, load_films, page, pages, training_rows
 from filmloom.operators.people import people_lookup, resolve_people
 from filmloom.operators.serving import serving_features
 
@@ -96,3 +96,10 @@ def test_pages(films):
         after = rows[-1]
     assert seen == sorted(r["tconst"] for r in titles.collect())
     assert [r[0] for r in page(titles, "tconst", "", 2, 3).collect()] == seen[:6] and page(titles.limit(0), "tconst", "", 2).count() == 0
+    assert [[r[0] for r in p.collect()] for p in pages(titles, "tconst", 4)] == [seen[i : i + 4] for i in range(0, len(seen), 4)]
+    assert [p.count() for p in pages(titles, "tconst", 2, most=2)] == [2, 2] and list(pages(titles.limit(0), "tconst", 2)) == []
+    assert [[r[0] for r in p.collect()] for p in pages(titles, "tconst", 100, after=seen[2])] == [seen[3:]]
+
+
+def test_bound_list(spark):
+    assert [r["k"] for r in bound_list(spark, ["b", "a", "b"], "k").collect()] == ["b", "a", "b"] and bound_list(spark, [], "k").count() == 0

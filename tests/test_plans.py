@@ -9,7 +9,7 @@ import __spark_entry__ as driver
 
 FOLDER = "/root/testdata/sf0.001"
 QUERIES = driver.queries()
-MODELS = {"train_predict", "model_metrics", "feature_importance", "shap_contributions"}
+MODELS = {"model_checks", "train_predict", "model_metrics", "feature_importance", "shap_contributions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filmloom.scratch import cut, join_counted
+from filmloom.scratch import cut, drop_cut, join_counted
 
 #: Edges that one task merges at once; a level of no more is finished by one task.
 EDGES_PER_TASK = 2_000_000
@@ -76,7 +76,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Edges with a null end join nothing and are ignored; loops make their node known; repeated edges change nothing.
     """
     edges = edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a is not null and b is not null")
-    levels = []
+    levels, links = [], []
     while True:
         hashed = edges.select("a", "b", F.xxhash64(F.lit(len(levels)), "a").alias("a_hash"), F.xxhash64(F.lit(len(levels)), "b").alias("b_hash"))
         met = (
@@ -86,13 +86,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .select("node", F.array_min("roots").alias("root"), "roots")
         )
         met = cut(met)
+        drop_cut(*links)
         levels.append(met.select("node", "root"))
-        links = met.where("size(roots) > 1").select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-        links = cut(links)
-        rest = links.count()
+        links = [cut(met.where("size(roots) > 1").select(F.explode("roots").alias("a"), F.col("root").alias("b")).where("a <> b").distinct())]
+        rest = links[0].count()
         if rest == 0:
             break
-        edges = links.coalesce(1) if rest <= EDGES_PER_TASK else links.hint("rebalance", "b")
+        edges = links[0].coalesce(1) if rest <= EDGES_PER_TASK else links[0].hint("rebalance", "b")
     labels = levels.pop()
     while levels:
         lower = levels.pop()

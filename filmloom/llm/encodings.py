@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filmloom.llm.codecs import DOUBLE_BYTE, SINGLE_BYTE, UTF8, Mistake, garble, image, undo_utf8, writes
-from filmloom.scratch import cut, join_counted
+from filmloom.scratch import cut, drop_cut, join_counted
 
 #: Passages end at sentence marks and line ends.
 PASSAGE = re.compile(r"[^\n.!?]+[.!?]*")
@@ -204,17 +204,18 @@ def learn_mistakes(texts: DataFrame, words: DataFrame) -> tuple[list[Mistake], s
     tops = cut(tops.select("word", "bare", "shape", F.array_distinct(F.array_compact(F.array("top", "all_top"))).alias("tops")))
     pairs = join_counted(rows, tops, ["word", "bare", "shape"], "inner").select("word", "passage", "n", F.explode("tops").alias("top")).where("passage <> top.clean")
     shown = pairs.select("passage", "top.clean", (F.col("top.n") - F.col("n")).alias("more"), "word").mapInArrow(_explained, SHOWN)
-    in_east = F.col("passage").rlike(EAST)
+    in_east, east = F.col("passage").rlike(EAST), []
     if not words.where(F.col("word").rlike(EAST)).isEmpty():
         outside = F.regexp_replace("passage", r"[@-~]*+\P{ASCII}[^\x00-\x3F]*+", "").alias("outside")
         size = F.length("passage") + F.when(in_east, F.length(F.regexp_replace("passage", r"\p{ASCII}+", ""))).otherwise(0)
         sized = counted.select("passage", "n", outside, size.alias("bytes"), in_east.alias("east"))
-        east = cut(sized.where("east").groupBy("outside", "bytes").agg(usual).select("outside", "bytes", "top.clean"))
-        shown = shown.union(join_counted(sized.where("not east"), east, ["outside", "bytes"], "inner").select("passage", "clean").mapInArrow(_doubled, SHOWN))
+        east = [cut(sized.where("east").groupBy("outside", "bytes").agg(usual).select("outside", "bytes", "top.clean"))]
+        shown = shown.union(join_counted(sized.where("not east"), east[0], ["outside", "bytes"], "inner").select("passage", "clean").mapInArrow(_doubled, SHOWN))
     mistakes = shown.groupBy(*SHOWN.replace(" string", "").split(", ")).count().where((F.col("stored") != "") | (F.col("count") >= LEAST_PAIRS)).collect()
     order = {c: i for i, c in enumerate((UTF8, *SINGLE_BYTE, *DOUBLE_BYTE))}
     seen = sorted(((r["stored"], r["read"], r["count"]) for r in mistakes if r["stored"]), key=lambda x: (x[0] != UTF8, -x[2], order[x[0]], order[x[1]]))
     usual_text = words.where("n > 1").select(F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7f]", ""), ""))).alias("c")).distinct()
+    drop_cut(counted, classes, rows, tops, *east)
     learned = learned_pieces([(r["garbled"], r["clean"], r["count"]) for r in mistakes if not r["stored"]])
     return [Mistake(s, r) for s, r, _ in seen] + learned, "".join(r["c"] for r in usual_text.collect())
 
@@ -415,6 +416,7 @@ class WrongEncodings:
         self.held = held.select("doc", each)
         self.words = cut(without_copies(held).select(each).groupBy("word").agg(F.count(F.lit(1)).alias("n")))
         self.mistakes, self.alphabet = learn_mistakes(without_copies(hashed), self.words)
+        drop_cut(copies)
         self.garbled = cut(garbled_words(self.words.where(~F.col("word").contains(LOST)), self.mistakes, self.alphabet))
 
     def found(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from filmloom.functions.keys import clean_key, clean_key_sql
 from filmloom.llm.splits import assign_splits, groups_of
 from filmloom.llm.together import CHUNK_ITEMS, pairs_together
+from filmloom.scratch import cut
 from filmloom.sources.tables import table
 
 
@@ -39,6 +40,25 @@ def p3_split_report(spark: SparkSession, folder: str) -> DataFrame:
     return counts.select("split_name", "target_share", "titles", (F.col("titles") / total).alias("actual_share"))
 
 
+#: What the titles of a split may lack or exceed, as a share of all titles.
+SHARE_TOLERANCE = 0.01
+
+
+def p3_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether, for each split, no title's group is cut, titles that share a director are in one group, and the number
+    of titles is close to the target."""
+    splits = cut(p3_splits(spark, folder))
+    cut_groups = splits.groupBy("group_tconst").agg(F.count_distinct("split_name").alias("n")).where("n > 1").count()
+    directed = _directed(spark, folder).where("item is not null and owner is not null")
+    apart = directed.join(splits.select(F.col("tconst").alias("item"), "group_tconst"), "item", "left").groupBy("owner")
+    apart = apart.agg(F.min("group_tconst").alias("a"), F.max("group_tconst").alias("b"), F.count_if(F.col("group_tconst").isNull()).alias("lost")).where("a <> b or lost > 0").count()
+    targets = table(spark, folder, "split_targets").select("split_name", "target_share")
+    counts = targets.join(splits.groupBy("split_name").agg(F.count(F.lit(1)).alias("titles")), "split_name", "left")
+    total = splits.count()
+    near = F.abs(F.coalesce("titles", F.lit(0)) - F.col("target_share") * total) <= F.greatest(F.lit(1.0), F.lit(SHARE_TOLERANCE * total))
+    return counts.select("split_name", F.lit(cut_groups == 0).alias("groups_whole"), F.lit(apart == 0).alias("directors_together"), near.alias("share_near"))
+
+
 #: Least number of common titles, and least ratio to the number expected by chance.
 LEAST_TOGETHER, LEAST_LIFT = 8, 10.0
 
@@ -88,5 +108,5 @@ scored AS (SELECT a, b, n_ab, x.n AS n_a, y.n AS n_b, total.n AS n FROM pairs JO
 P4_FOUND_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b FROM scored"
 P4_PAIRS_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 4) AS lift, round(log2(n_ab * n / (n_a::DOUBLE * n_b)), 4) AS pmi FROM scored"
 
-QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_chunked": p4_chunked}
-ORACLES = {"p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_chunked": _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b FROM scored"}
+QUERIES = {"p3_check": p3_check, "p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_chunked": p4_chunked}
+ORACLES = {"p3_check": "SELECT split_name, true AS groups_whole, true AS directors_together, true AS share_near FROM split_targets", "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_chunked": _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b FROM scored"}

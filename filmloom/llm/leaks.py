@@ -155,15 +155,25 @@ def _runs(text: str, symbols: dict[str, int], width: int) -> Iterator[tuple[int,
         yield at + 1 - len(now), now
 
 
-def _search_shard(docs: list[int], firsts: list[int], runs: list[list[int]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (document index, first word) of the matches in the runs of a shard, and distinct (document index, item)."""
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in their order."""
+    least, width = (b.min(), int(b.max()) - int(b.min()) + 1) if len(b) else (0, 1)
+    if len(a) and (int(a.max()) + 1) * width > np.iinfo(np.int64).max:
+        both = np.unique(np.stack([a, b], axis=1), axis=0)
+        return both[:, 0], both[:, 1]
+    codes = np.unique(a * width + (b - least))
+    return codes // width, codes % width + least
+
+
+def _search_shard(docs: list[int], firsts: list[int], runs: list[list[int]], phrases: Phrases, places: bool) -> tuple[np.ndarray, ...]:
+    """Distinct (document index, item) of the matches in the runs of a shard; with `places` (document index, first word) as well."""
     sizes = np.array([len(r) + 1 for r in runs])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     text = np.ones(starts[-1], np.int64)
     for at, run in zip(starts, runs):
         text[at : at + len(run)] = run
     index = FMIndex(text)
-    words, items = [np.zeros((0, 2), np.int64)], [np.zeros((0, 2), np.int64)]
+    words, items = [], []
     for windows in phrases.blocks():
         low, high = index.search(windows)
         hit = np.flatnonzero(high > low)
@@ -172,12 +182,13 @@ def _search_shard(docs: list[int], firsts: list[int], runs: list[list[int]], phr
         position = index.locate(rows)
         run = np.searchsorted(starts, position, side="right") - 1
         doc = np.array(docs)[run]
-        words.append(np.stack([doc, np.array(firsts)[run] + position - starts[run]], axis=1))
-        pairs = np.unique(np.stack([doc, np.repeat(hit, many)], axis=1), axis=0)
-        owned = (windows.owner_start[pairs[:, 1] + 1] - windows.owner_start[pairs[:, 1]]).astype(np.int64)
-        owner = windows.owners[np.repeat(windows.owner_start[pairs[:, 1]] - np.concatenate([[0], np.cumsum(owned)[:-1]]), owned) + np.arange(owned.sum())]
-        items.append(np.stack([np.repeat(pairs[:, 0], owned), owner], axis=1))
-    return np.unique(np.concatenate(words), axis=0), np.unique(np.concatenate(items), axis=0)
+        if places:
+            words.append((doc, np.array(firsts)[run] + position - starts[run]))
+        doc, phrase = _distinct(doc, np.repeat(hit, many))
+        owned = (windows.owner_start[phrase + 1] - windows.owner_start[phrase]).astype(np.int64)
+        owner = windows.owners[np.repeat(windows.owner_start[phrase] - np.concatenate([[0], np.cumsum(owned)[:-1]]), owned) + np.arange(owned.sum())]
+        items.append((np.repeat(doc, owned), owner))
+    return tuple(x for pairs in (items, words) if pairs for x in _distinct(*(np.concatenate(side) for side in zip(*pairs))))
 
 
 def _merged(text: str, words: np.ndarray, width: int) -> list[dict[str, int]]:
@@ -202,15 +213,15 @@ def _scan(phrases: Phrases, spans: bool):
     def close(ids: pa.Array, texts: list[str], docs: list[int], firsts: list[int], runs: list[list[int]]) -> Iterator[pa.RecordBatch]:
         if not runs:
             return
-        words, items = _search_shard(docs, firsts, runs, phrases)
+        doc, item, *places = _search_shard(docs, firsts, runs, phrases, spans)
         if spans:
-            hit, first = np.unique(words[:, 0], return_index=True)
-            _, first_item = np.unique(items[:, 0], return_index=True)
-            merged = pa.array([_merged(texts[d], w, phrases.width) for d, w in zip(hit, np.split(words[:, 1], first[1:]))], _SPANS)
-            owners = pa.array([x.tolist() for x in np.split(items[:, 1], first_item[1:])][: len(hit)], pa.list_(pa.int64()))
+            hit, first = np.unique(places[0], return_index=True)
+            _, first_item = np.unique(doc, return_index=True)
+            merged = pa.array([_merged(texts[d], w, phrases.width) for d, w in zip(hit, np.split(places[1], first[1:]))], _SPANS)
+            owners = pa.array([x.tolist() for x in np.split(item, first_item[1:])][: len(hit)], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), owners, merged], ["doc", "items", "spans"])
         else:
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(items[:, 0])), pa.array(items[:, 1])], ["doc", "item"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(item)], ["doc", "item"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, docs, firsts, runs, size = [], [], [], [], [], 0

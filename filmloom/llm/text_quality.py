@@ -109,5 +109,5 @@ grouped AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS span F
 owners AS (SELECT doc_id, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
 SELECT doc_id, items, CAST(min(s) AS BIGINT) AS span_start, CAST(max(e) AS BIGINT) AS span_end FROM grouped JOIN owners USING (doc_id) GROUP BY doc_id, items, span"""
 
-QUERIES = {"p9_check": p9_check, "p8_found": p8_found, "p8_spans": p8_spans, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_restored": p10_restored}
+QUERIES = {"p8_found": p8_found, "p8_spans": p8_spans, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_check": p9_check, "p10_found": p10_found, "p10_restored": p10_restored}
 ORACLES = {"p8_found": P8_FOUND_SQL, "p8_spans": P8_SPANS_SQL, "p9_check": P9_CHECK_SQL}

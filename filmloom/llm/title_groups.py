@@ -108,5 +108,5 @@ scored AS (SELECT a, b, n_ab, x.n AS n_a, y.n AS n_b, total.n AS n FROM pairs JO
 P4_FOUND_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b FROM scored"
 P4_PAIRS_SQL = _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b, round(n_ab * n / (n_a::DOUBLE * n_b), 4) AS lift, round(log2(n_ab * n / (n_a::DOUBLE * n_b)), 4) AS pmi FROM scored"
 
-QUERIES = {"p3_check": p3_check, "p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_chunked": p4_chunked}
+QUERIES = {"p3_found": p3_found, "p3_splits": p3_splits, "p3_split_report": p3_split_report, "p3_check": p3_check, "p4_found": p4_found, "p4_pairs": p4_pairs, "p4_chunked": p4_chunked}
 ORACLES = {"p3_check": "SELECT split_name, true AS groups_whole, true AS directors_together, true AS share_near FROM split_targets", "p3_found": P3_FOUND_SQL, "p4_found": P4_FOUND_SQL, "p4_pairs": P4_PAIRS_SQL, "p4_chunked": _P4_SQL + "SELECT a AS nconst_a, b AS nconst_b, n_ab, n_a, n_b FROM scored"}

@@ -56,13 +56,11 @@ def orphan_references(refs: DataFrame, target: DataFrame) -> DataFrame:
     """
     known = refs.where("key is not null and t is not null").select("key", "t", F.to_date("t").alias("day"))
     moves = cut(existence_deltas(target).groupBy("key", "t").agg(F.sum("delta").alias("net")).where("net <> 0").withColumn("day", F.to_date("t")))
-    counted = known.groupBy("key", "day").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    changed = moves.groupBy("key", "day").agg(F.sum("net").alias("net"))
     before = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
-        counted.unionByName(changed, allowMissingColumns=True)
+        known.unionByName(moves.select("key", "day", "net"), allowMissingColumns=True)
         .groupBy("key", "day")
-        .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("net").alias("net"))
+        .agg(F.min("t").alias("first"), F.max("t").alias("last"), F.sum("net").alias("net"))
         .withColumn("carried", F.coalesce(F.sum("net").over(before), F.lit(0)))
         .where("first is not null and (net is not null or carried = 0)")
     )

@@ -24,11 +24,12 @@ def existence_deltas(target: DataFrame) -> DataFrame:
 def uncovered_spans(moves: DataFrame, days: DataFrame) -> DataFrame:
     """Stretches of a day in which its key does not exist: (key, day, from, to), `to` excluded and null at the day's end.
 
-    moves: existence changes (key, day, t, net), one row per time; days: (key, day, carried) with what exists at its start.
+    moves: existence changes (key, day, t, net), one row per time; days: a stored table (key, day, carried, ...) with what
+    exists at its start.
     Only changes are ordered, never references.
     """
     order = Window.partitionBy("key", "day").orderBy("t")
-    ran = moves.join(days, ["key", "day"]).select(
+    ran = join_counted(moves, days, ["key", "day"], "inner").select(
         "key",
         "day",
         F.col("t").alias("from"),
@@ -65,10 +66,11 @@ def orphan_references(refs: DataFrame, target: DataFrame) -> DataFrame:
         .where("first is not null and (net is not null or carried = 0)")
     )
     days = cut(days.select("key", "day", "first", "last", F.col("net").isNotNull().alias("open"), "carried"))
-    spans = cut(uncovered_spans(moves, days.where("open").select("key", "day", "carried")))
+    open_days = cut(days.where("open").select("key", "day", "carried", "first", "last"))
+    spans = cut(uncovered_spans(moves, open_days))
     within = lambda t: (F.col(t) >= F.col("from")) & (F.col("to").isNull() | (F.col(t) < F.col("to")))
     between = (F.col("from") > F.col("first")) & (F.col("to") <= F.col("last"))
-    judged = days.where("open").join(spans, ["key", "day"]).groupBy("key", "day").agg(F.max(within("first") | within("last")).alias("orphan"), F.max(between).alias("between"))
+    judged = join_counted(open_days.drop("carried"), spans, ["key", "day"], "inner").groupBy("key", "day").agg(F.max(within("first") | within("last")).alias("orphan"), F.max(between).alias("between"))
     judged = cut(judged.where("orphan or between"))
     found = days.where("not open").select("key", "day").union(judged.where("orphan").select("key", "day"))
     unsure = judged.where("not orphan").select("key", "day")
